@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one array step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -53,6 +56,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexigrove_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lexigrove_ship_")) / "lexigrove_workers.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(str(target))
+    sc._lexigrove_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import quality
+from lexigrove.llm import bpe, decontaminate, quality
 from lexigrove.llm.common import table
 
 
@@ -18,5 +19,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of a window of a benchmark item."""
+    found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_decontamination": op3_decontamination, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
