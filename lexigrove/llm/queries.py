@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, quality
+from lexigrove.llm import bpe, decontaminate, neardup, quality
 from lexigrove.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, on two-word shingles at a similarity of 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in an occurrence of a window of a benchmark item."""
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -35,5 +40,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_decontamination": op3_decontamination, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
