@@ -6,6 +6,7 @@ character is, so byte runs and character runs are the same.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -177,3 +178,10 @@ def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are staged and no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+

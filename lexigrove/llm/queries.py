@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, neardup, quality
+from lexigrove.llm import bpe, decontaminate, neardup, quality, substrings
 from lexigrove.llm.common import table
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that start more than once in the corpus."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict of the weakly supervised quality rules for every document."""
     m = F.col(quality.HELD)
@@ -40,5 +46,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op7_substring_dedup": op7_substring_dedup, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
