@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, neardup, quality, substrings
+from lexigrove.llm import bpe, decontaminate, neardup, quality, substrings, toxicity
 from lexigrove.llm.common import table
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; labels of a fifth of the ids are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 35-word windows that start more than once in the corpus."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -46,5 +54,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op7_substring_dedup": op7_substring_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
