@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, neardup, quality, substrings, toxicity
+from lexigrove.llm import bpe, decontaminate, neardup, pages, quality, substrings, toxicity
 from lexigrove.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict of the weakly supervised quality rules for every document."""
     m = F.col(quality.HELD)
@@ -54,5 +59,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_html_extraction": op8_html_extraction, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
