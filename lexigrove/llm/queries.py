@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, neardup, pages, quality, substrings, toxicity
+from lexigrove.llm import bpe, decontaminate, neardup, pages, quality, substrings, toxicity, warc
 from lexigrove.llm.common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the capture index."""
+    root = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read_all(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document; labels of a fifth of the ids are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -59,5 +65,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_html_extraction": op8_html_extraction, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_html_extraction": op8_html_extraction, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
