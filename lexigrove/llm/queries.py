@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import bpe, decontaminate, neardup, pages, quality, substrings, toxicity, warc
-from lexigrove.llm.common import table
+from lexigrove.llm import bpe, decontaminate, neardup, pages, quality, rollup, shards, substrings, toxicity, warc
+from lexigrove.llm.common import staged, table
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,35 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_all(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, over four batches of signed changes.
+
+    Every document is inserted with an estimate, replayed to no effect, revised to its real counts, and taken away
+    again if it has no text.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), quality.SPACE), "")).cast("long")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = docs.select("source", "lang", words.alias("words"), size.alias("size"), "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counted = staged(bpe.count_tokens(docs, path, public_tokenizers.PATTERN, keep=["source", "lang", "words", "size"]), "counts")
+    versions = F.array(F.struct(F.lit("words").alias("v"), F.col("words").alias("n")), F.struct(F.lit("byte_bpe_50k").alias("v"), F.col("n_tokens").alias("n")))
+    rows = counted.withColumn("x", F.explode(versions)).select("source", "lang", "size", "x.v", "x.n", F.ceil(F.col("size") / 4).alias("guess"))
+    book = rollup.TokenRollup(spark)
+    first = rollup.changes(rows, F.lit("insert"), F.col("v"), F.col("guess"))
+    book.commit("load", first)
+    book.commit("load", first)
+    book.commit("revise", rollup.changes(rows, F.lit("revise"), F.col("v"), F.col("n"), F.col("guess")))
+    book.commit("empty", rollup.changes(rows.filter("size = 0"), F.lit("delete"), F.col("v"), F.col("n")))
+    return book.totals()
+
+
+def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level ids (UTF-8 bytes, 255 between documents) in training order, in binary shards."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).cast("binary").alias("ids"))
+    return shards.write(docs, "ids", width=1, separator=255)[1]
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document; labels of a fifth of the ids are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -65,5 +94,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_html_extraction": op8_html_extraction, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_minhash_neardup": op2_minhash_neardup, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_html_extraction": op8_html_extraction, "op9_quality_rules": op9_quality_rules, "op10_training_shards": op10_training_shards}
 ORACLE_SQL: dict[str, str] = {}
