@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lexigrove", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -20,3 +22,11 @@ def get_session(app: str = "lexigrove", master: str | None = None, shuffle_parti
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def with_checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the folder of spark.checkpoint.dir; where none is set, a folder of this driver's."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexigrove_')}")
+    return df.checkpoint()
