@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrove.functions import topic_names
 
@@ -138,7 +139,7 @@ def match_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def annotate(df: DataFrame, provider: Callable[[pd.Series], pd.Series], prompt: str, out: str = "content") -> DataFrame:
     """``out`` from a provider that answers a batch of prompts. A provider is any function of a pandas Series."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
