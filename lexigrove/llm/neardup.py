@@ -3,8 +3,8 @@
 1. Each text becomes the set of its word shingles' 64-bit hashes, a bottom-64 sketch of it, and 128 one-bit bins.
    Equal sets fall together on a 128-bit key before anything is compared, so copies cost one row each.
 2. Inverted lists of the 32 lowest values give candidates. A list of at most ``SHORT`` sets is paired; sizes and bins
-   prune inside the join. Values in more sets ("frequent") are never paired alone: neighbouring frequent values of a
-   set form compound keys, and lists of at most ``MEDIUM`` sets under those are paired likewise.
+   prune inside the join. Values in more sets ("frequent") are never paired alone: in a set with fewer than ``ENOUGH``
+   infrequent values, neighbouring frequent ones form compound keys, and lists of at most ``MEDIUM`` sets under those are paired likewise.
 3. In a longer compound list every set is compared with one pivot, the set that the most such lists hold. That costs
    a row a member and joins copies of one original with it.
 4. What step 3 leaves in different classes is settled exactly, by prefix filtering over the full sets of such lists'
@@ -13,8 +13,8 @@
 5. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
 Two sets over the threshold t share no usable key with a probability below 1e-8 at t = 0.8 (32 lowest values of the
-union, each shared with probability t; a pair is lost only if no two neighbours of the shared frequent values agree
-and no infrequent value does); the pruning bounds are at least six standard deviations away.
+union, each shared with probability t; a pair is lost only if a set's ENOUGH infrequent values are all unshared, or no
+infrequent value and no two neighbouring frequent ones are shared); the pruning bounds are at least six standard deviations away.
 
 Null and empty texts have an empty set: a class of their own each. Rows with a null id get a null class. Rows that
 repeat an id share its class; with different texts under one id, their classes join. Ties: the smallest id names the
@@ -32,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import FOLD, NON_SPACE, Words, arrow_map, mix64, staged, text_steps
+from lexigrove.llm.common import FOLD, NON_SPACE, Words, arrow_map, mix64, release, staged, text_steps
 
 SKETCH, RETAINED = 64, 32
 SHORT, MEDIUM = 64, 256
+#: A set with so many infrequent retained values meets every partner under one of them, but for 0.2 ** ENOUGH.
+ENOUGH = 12
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -214,14 +216,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     every = staged(sketches(docs, shingle, doc_id, text), "sketches")
     full = every.filter("n > 0 and doc_id is not null")
     named = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    release(docs.sparkSession)
     sets = staged(full.join(named, ["k1", "k2"]).filter("doc_id = rep").drop("doc_id", "k1", "k2").dropDuplicates(["rep"]), "sets")
     light = sets.select("rep", "n", "s1", "s2")
     values = retained(sets)
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     lists = staged(values.join(often, "v").join(light, "rep"), "lists")
+    release(docs.sparkSession)
 
     frequent = lists.filter(F.col("c") > SHORT)
-    chain = frequent.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("h"))
+    chain = frequent.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("h"), F.max("n").alias("n"))
+    chain = chain.filter(F.least("n", F.lit(RETAINED)) - F.size("h") < ENOUGH)
     pairs_of = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("x"), F.get("h", i + 1).alias("y")))
     chain = chain.filter(F.size("h") > 1).select("rep", F.explode(pairs_of).alias("k")).select("rep", "k.x", "k.y")
     sizes = chain.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -240,12 +245,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(members.select("rep")).distinct()
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
     texts = staged(texts.join(wanted, "rep", "left_semi"), "texts")
+    release(docs.sparkSession)
     links = staged(_verified(pairs, texts, shingle, t), "verified")
+    release(docs.sparkSession)
     at = components(links)
     if members.limit(1).count():
         more = staged(_verified(_estimated(_rest(members, at, sets, texts, shingle, t), sets, t), texts, shingle, t), "verified")
         if more.limit(1).count():
             at = components(links.union(more))
+    release(docs.sparkSession)
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
