@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from lexigrove.llm.common import arrow_map
 
-#: Pre-tokens remembered in a worker (about 200 MB); beyond, it starts anew.
-CACHE_TOKENS = 1_000_000
+#: Pre-tokens remembered in a worker (about 80 MB); beyond, it starts anew.
+CACHE_TOKENS = 400_000
 #: Longer texts are encoded in stretches of so many pre-tokens.
 LONG_TEXT, STRETCH = 1 << 20, 1 << 16
 #: Rows turned into Python strings at a time.

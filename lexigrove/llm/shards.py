@@ -8,7 +8,8 @@ temporary name and renamed, so a task that runs again writes the same bytes; slo
 stride of shard s div per_shard, so a reader resumes anywhere by seeking.
 
 Null ids are no document; an empty one is a separator. A very long document spans sequences. Repeated rows are packed
-like any other. An empty table writes no shard. Only the ids column is read.
+like any other. An empty table writes no shard. Only the ids column is read. Input must be a stored table (or staged):
+its partitions are numbered once and read again, and a partition that then holds other bytes is an error.
 """
 
 from __future__ import annotations
