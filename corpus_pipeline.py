@@ -30,9 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words of repeated 35-word windows; texts that lose nothing stay as they are."""
-    found = substrings.remove_repeats(docs)
-    text = F.when(found.n_removed > 0, found.kept_text).otherwise(found.text)
-    return _counted(found.withColumn("text", text)).select(*docs.columns)
+    return _counted(substrings.clean(docs)).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

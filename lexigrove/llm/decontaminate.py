@@ -256,6 +256,9 @@ def digest_of_items(names: list[str]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with the benchmark spans cut from ``text``; documents with nothing else left keep an empty text."""
-    keep = [c for c in docs.columns if c != text]
-    found = find_spans(docs, items, keep, text, item_id, item_text, cleaned=True)
-    return found.select(*(found[c] if c != text else found.clean_text.alias(text) for c in docs.columns))
+    # Other columns travel under names of their own, so that none can clash with what is added.
+    own = [f"__own{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)))
+    at = own[docs.columns.index(text)]
+    found = find_spans(inner, items, [n for n in own if n != at], at, item_id, item_text, cleaned=True)
+    return found.select(*(F.col("clean_text" if n == at else n).alias(c) for c, n in zip(docs.columns, own, strict=True)))

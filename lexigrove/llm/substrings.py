@@ -244,3 +244,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     joined = joined.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"), "__spans")
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     return _kept(joined, T.StructType([*joined.schema.fields[:-2], *more]), window)
+
+
+def clean(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated windows out of ``text``; a text that loses nothing stays as it is."""
+    own = [f"__own{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)))
+    at = own[docs.columns.index(text)]
+    found = remove_repeats(inner, window, doc_id=own[docs.columns.index(doc_id)], text=at)
+    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(at))
+    return found.select(*((left if n == at else F.col(n)).alias(c) for c, n in zip(docs.columns, own, strict=True)))
