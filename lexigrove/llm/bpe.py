@@ -49,7 +49,7 @@ class PerfectHash:
         by: list[list[tuple[int, int, bytes]]] = [[] for _ in range(self.buckets)]
         for k in keys:
             h = xxhash.xxh3_64_intdigest(k)
-            by[h % self.buckets].append(((h >> 20) % n, 1 + (h >> 42) % max(1, n - 1), k))
+            by[h % self.buckets].append((h, k))
         order = sorted(range(self.buckets), key=lambda b: -len(by[b]))
         free = 0
         for b in order:
@@ -58,22 +58,27 @@ class PerfectHash:
                 # A bucket of one takes any free slot; a negative entry names it outright.
                 while self.slots[free] is not None:
                     free += 1
-                self.slots[free], self.shift[b] = group[0][2], -1 - free
+                self.slots[free], self.shift[b] = group[0][1], -1 - free
                 continue
             d = 0
             while group:
-                at = {(a + d * s + d * d) % n for a, s, _ in group}
+                at = {self._slot(h, d) for h, _ in group}
                 if len(at) == len(group) and all(self.slots[x] is None for x in at):
                     break
                 d += 1
             self.shift[b] = d
-            for a, s, k in group:
-                self.slots[(a + d * s + d * d) % n] = k
+            for h, k in group:
+                self.slots[self._slot(h, d)] = k
+
+    def _slot(self, h: int, d: int) -> int:
+        """A slot that each displacement draws anew, so a search for free ones cannot run in a circle."""
+        x = (h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        return ((x ^ x >> 29) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF) % 0xFFFFFFFFFFFFFFC5 % self.n
 
     def find(self, key: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(key)
         d = self.shift[h % self.buckets]
-        at = -1 - d if d < 0 else ((h >> 20) % self.n + d * (1 + (h >> 42) % max(1, self.n - 1)) + d * d) % self.n
+        at = -1 - d if d < 0 else self._slot(h, d)
         return at if self.slots[at] == key else -1
 
 
