@@ -5,12 +5,14 @@
 2. Inverted lists of the 32 lowest values give candidates. A list of at most ``SHORT`` sets is paired; sizes and bins
    prune inside the join. Values in more sets ("frequent") are never paired alone: in a set with fewer than ``ENOUGH``
    infrequent values, neighbouring frequent ones form compound keys, and lists of at most ``MEDIUM`` sets under those are paired likewise.
-3. In a longer compound list every set is compared with one pivot, the set that the most such lists hold. That costs
-   a row a member and joins copies of one original with it.
-4. What step 3 leaves in different classes is settled exactly, by prefix filtering over the full sets of such lists'
-   members: elements that no other member has cannot count, the rarest of the others are the prefix, and only pairs
-   of different classes whose sizes allow the threshold are compared.
-5. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
+3. Rounds: in every list, one hub is compared with the members that are not in its class, which costs a row a member.
+   The first round's hub is the set that the longest lists hold, so copies of one original join with it; later hubs
+   are drawn anew for each list from its largest class. Classes are joined after each round.
+4. Pairs within lists follow, but only of members whose classes still differ: a class needs no second link.
+5. What is then still apart in longer compound lists is settled exactly, by prefix filtering over the full sets of
+   their members: elements that no other member has cannot count, the rarest of the others are the prefix, and only
+   pairs of different classes whose sizes allow the threshold are compared.
+6. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
 Two sets over the threshold t share no usable key with a probability below 1e-8 at t = 0.8 (32 lowest values of the
 union, each shared with probability t; a pair is lost only if a set's ENOUGH infrequent values are all unshared, or no
@@ -38,6 +40,8 @@ SKETCH, RETAINED = 64, 32
 SHORT, MEDIUM = 64, 256
 #: A set with so many infrequent retained values meets every partner under one of them, but for 0.2 ** ENOUGH.
 ENOUGH = 12
+#: Rounds of hubs before pairs are made. More rounds leave fewer pairs; the result is the same.
+ROUNDS = 2
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -123,12 +127,42 @@ class _Side:
         return F.col(f"{self.name}.{column}")
 
 
-def _paired(lists: DataFrame, keys: list[str], t: float) -> DataFrame:
-    """Pairs a < b within lists of bounded length that may link."""
+def _classed(keys: DataFrame, at: DataFrame | None) -> DataFrame:
+    """``keys`` with each member's class so far (root)."""
+    if at is None:
+        return keys.withColumn("root", F.col("rep"))
+    return keys.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _mixed(m: DataFrame) -> DataFrame:
+    """Rows of the lists whose members are in different classes."""
+    apart = m.groupBy("x", "y").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("x", "y")
+    return m.join(apart, ["x", "y"], "left_semi")
+
+
+def _spokes(keys: DataFrame, at: DataFrame | None, t: float, turn: int) -> DataFrame:
+    """Pairs of each list's hub and its members of other classes that may link with it: a row a member at most."""
+    m = _classed(keys, at)
+    if turn == 0:
+        central = keys.groupBy("rep").agg(F.sum("c").alias("weight"))
+        best = m.join(central, "rep").select("x", "y", "root", F.lit(1).alias("size"), F.struct("weight", "rep", "n", "s1", "s2").alias("p"))
+    else:
+        drawn = F.struct(F.xxhash64("rep", "x", "y", F.lit(turn)).alias("weight"), "rep", "n", "s1", "s2")
+        m = _mixed(m)
+        best = m.groupBy("x", "y", "root").agg(F.count(F.lit(1)).alias("size"), F.max(drawn).alias("p"))
+    hubs = best.groupBy("x", "y").agg(F.max(F.struct("size", "p", "root")).alias("h"))
+    hubs = hubs.select("x", "y", "h.root", "h.p.rep", "h.p.n", "h.p.s1", "h.p.s2")
     a, b = _Side("a"), _Side("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    joined = lists.alias("a").join(lists.alias("b"), [*on, a.rep < b.rep, _may_link(a, b, t)])
-    return joined.select(a.rep.alias("a"), b.rep.alias("b"))
+    joined = m.alias("b").join(hubs.alias("a"), [a.x == b.x, a.y == b.y, a.root != b.root, _may_link(a, b, t)])
+    return joined.select(F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")).distinct()
+
+
+def _paired(keys: DataFrame, at: DataFrame, t: float) -> DataFrame:
+    """Pairs a < b of different classes within lists of bounded length that may link."""
+    m = staged(_mixed(_classed(keys, at)), "apart")
+    a, b = _Side("a"), _Side("b")
+    joined = m.alias("a").join(m.alias("b"), [a.x == b.x, a.y == b.y, a.rep < b.rep, a.root != b.root, _may_link(a, b, t)])
+    return joined.select(a.rep.alias("a"), b.rep.alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -149,8 +183,10 @@ def _estimated(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return arrow_map(wide, run, pairs.select("a", "b").schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
     """Pairs whose full sets reach similarity t (in whole percent, as the comparison is exact)."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = staged(docs.join(wanted, "rep", "left_semi"), "texts")
     percent = round(100 * t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +216,9 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
-def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
+def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
     """Candidates among members of long lists that are still in different classes, by prefix filtering."""
-    m = members.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = m.groupBy("x", "y").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("x", "y")
-    m = m.join(mixed, ["x", "y"], "left_semi").select("rep", "root").distinct()
+    m = staged(_mixed(_classed(members, at)).select("rep", "root").distinct(), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +228,7 @@ def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, texts: DataFrame,
                 rep = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
                 yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(found) if found else [], pa.int64())], names=["rep", "e"])
 
-    wanted = texts.join(m, "rep", "left_semi").select("rep", "text")
+    wanted = docs.join(m, "rep", "left_semi").select("rep", "text")
     elements = staged(arrow_map(wanted, run, f"rep {wanted.schema['rep'].dataType.simpleString()}, e long"), "elements")
     shared = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     e = elements.join(shared, "e").join(sets.select("rep", "n", "s1", "s2"), "rep").join(m, "rep")
@@ -232,28 +266,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     sizes = chain.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     compound = staged(chain.join(sizes, ["x", "y"]).join(light, "rep"), "compound")
 
-    long = compound.filter(F.col("c") > MEDIUM)
-    central = long.groupBy("rep").agg(F.sum("c").alias("weight"))
-    pivots = long.join(central, "rep").groupBy("x", "y").agg(F.max(F.struct("weight", (-F.col("n")).alias("n"), "rep", "s1", "s2")).alias("p")).select("x", "y", (-F.col("p.n")).alias("n"), "p.rep", "p.s1", "p.s2")
-    a, b = _Side("a"), _Side("b")
-    spokes = long.alias("b").join(pivots.alias("a"), [a.x == b.x, a.y == b.y, a.rep != b.rep, _may_link(a, b, t)])
-    spokes = spokes.select(F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b"))
-
-    found = _paired(lists.filter(F.col("c") <= SHORT), ["v"], t).union(_paired(compound.filter(F.col("c") <= MEDIUM), ["x", "y"], t)).union(spokes).distinct()
-    pairs = staged(_estimated(found, sets, t), "pairs")
-    members = long.select("rep", "x", "y")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(members.select("rep")).distinct()
+    short = lists.filter(F.col("c") <= SHORT).select(F.col("v").alias("x"), F.col("v").alias("y"), "c", "rep", "n", "s1", "s2")
+    keys = short.unionByName(compound)
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
-    texts = staged(texts.join(wanted, "rep", "left_semi"), "texts")
-    release(docs.sparkSession)
-    links = staged(_verified(pairs, texts, shingle, t), "verified")
-    release(docs.sparkSession)
-    at = components(links)
+    at = None
+
+    def join_classes(candidates: DataFrame) -> None:
+        nonlocal at
+        pairs = staged(_estimated(candidates, sets, t), "pairs")
+        if at is not None and pairs.isEmpty():
+            return
+        links = _verified(pairs, texts, shingle, t)
+        if at is not None:
+            links = links.union(at.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
+        at = components(links)
+        release(docs.sparkSession)
+
+    for turn in range(ROUNDS):
+        join_classes(_spokes(keys, at, t, turn))
+    join_classes(_paired(short.unionByName(compound.filter(F.col("c") <= MEDIUM)), at, t))
+    members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
     if members.limit(1).count():
-        more = staged(_verified(_estimated(_rest(members, at, sets, texts, shingle, t), sets, t), texts, shingle, t), "verified")
-        if more.limit(1).count():
-            at = components(links.union(more))
-    release(docs.sparkSession)
+        join_classes(_rest(members, at, sets, texts, shingle, t))
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
