@@ -3,8 +3,8 @@
 1. Each text becomes the set of its word shingles' 64-bit hashes, a bottom-64 sketch of it, and 128 one-bit bins.
    Equal sets fall together on a 128-bit key before anything is compared, so copies cost one row each.
 2. Inverted lists of the 32 lowest values give candidates. A list of at most ``SHORT`` sets is paired; sizes and bins
-   prune inside the join. Values in more sets ("frequent") are never paired alone: in a set with fewer than ``ENOUGH``
-   infrequent values, neighbouring frequent ones form compound keys, and lists of at most ``MEDIUM`` sets under those are paired likewise.
+   prune inside the join. Values in more sets ("frequent") are never paired alone: the neighbouring frequent ones of
+   each set form compound keys, and lists of at most ``MEDIUM`` sets under those are paired likewise.
 3. Rounds: in every list, one hub is compared with the members that are not in its class, which costs a row a member.
    The first round's hub is the set that the longest lists hold, so copies of one original join with it; later hubs
    are drawn anew for each list from its largest class. Classes are joined after each round.
@@ -15,8 +15,9 @@
 6. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
 Two sets over the threshold t share no usable key with a probability below 1e-8 at t = 0.8 (32 lowest values of the
-union, each shared with probability t; a pair is lost only if a set's ENOUGH infrequent values are all unshared, or no
-infrequent value and no two neighbouring frequent ones are shared); the pruning bounds are at least six standard deviations away.
+union, each shared with probability t; a pair is lost only if no infrequent value and no two neighbouring frequent ones
+are shared). However many infrequent values a set has, they may all be its own, so it has compound keys like any other.
+The pruning bounds are at least six standard deviations away.
 
 Null and empty texts have an empty set: a class of their own each. Rows with a null id get a null class. Rows that
 repeat an id share its class; with different texts under one id, their classes join. Ties: the smallest id names the
@@ -38,8 +39,8 @@ from lexigrove.llm.common import FOLD, NON_SPACE, Words, arrow_map, mix64, relea
 
 SKETCH, RETAINED = 64, 32
 SHORT, MEDIUM = 64, 256
-#: A set with so many infrequent retained values meets every partner under one of them, but for 0.2 ** ENOUGH.
-ENOUGH = 12
+#: Not read any more: no number of infrequent values spares a set its compound keys. Kept as a test sets it.
+ENOUGH = RETAINED
 #: Rounds of hubs before pairs are made. More rounds leave fewer pairs; the result is the same.
 ROUNDS = 2
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -259,8 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     release(docs.sparkSession)
 
     frequent = lists.filter(F.col("c") > SHORT)
-    chain = frequent.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("h"), F.max("n").alias("n"))
-    chain = chain.filter(F.least("n", F.lit(RETAINED)) - F.size("h") < ENOUGH)
+    chain = frequent.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("h"))
     pairs_of = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("x"), F.get("h", i + 1).alias("y")))
     chain = chain.filter(F.size("h") > 1).select("rep", F.explode(pairs_of).alias("k")).select("rep", "k.x", "k.y")
     sizes = chain.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")

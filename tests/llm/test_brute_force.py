@@ -6,6 +6,8 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,27 @@ def test_classes(docs, texts, monkeypatch, size, lists):
     assert got == want
 
 
+def test_own_text_in_a_large_group(spark):
+    # All that a large group shares is frequent; the retained values that are not may all be a document's own text.
+    base = [f"t{i}" for i in range(600)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 91):
+        at = i * 6
+        rows.append((i, " ".join([*base[:at], *(f"v{i}x{k}" for k in range(6)), *base[at + 6 :]])))
+    common = next(neardup.shingle_sets(pa.array([rows[0][1]]), 2))
+    seed = 0
+    while len(rows) < 97:
+        seed += 1
+        text = f"{rows[0][1]} " + " ".join(f"o{seed}x{k}" for k in range(145))
+        low = next(neardup.shingle_sets(pa.array([text]), 2))[: neardup.RETAINED]
+        if (~np.isin(low, common)).sum() >= 12:
+            rows.append((1000 + seed, text))
+    want = classes(rows, 2, 80)
+    assert {c for _, c in want.values()} == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2, 0.8).collect()} == want
+
+
 def test_dedup_keeps_one_row_a_class(spark, docs, texts, no_docs):
     want = classes([r[:2] for r in texts], 5, 80)
     twice = docs.union(docs.filter("doc_id = 19")).union(spark.createDataFrame([(None, "no id", "", "")], docs.schema))
