@@ -76,6 +76,14 @@ def test_boilerplate_of_pages_without_article(spark):
     assert got[9].startswith("single\n\nall rights")
 
 
+def test_shards_of_a_host_share_runs(spark, monkeypatch):
+    # Each footer is on two pages, which mostly fall into different shards.
+    rows = [(i, "http://h/", f"<div>own words of page {i}</div><div>footer {i // 2} a b c d e f g h {i // 2}</div>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(pages, "SHARD_TOKENS", 100)
+    assert {r.page_id: r.text for r in pages.main_text(df).collect()} == {i: f"own words of page {i}" for i in range(60)}
+
+
 def test_shared_tokens_equal_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(1, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(6)]
