@@ -40,9 +40,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's byte-level ids (UTF-8 bytes, 255 between documents) in training order, in binary shards."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).cast("binary").alias("ids"))
-    return shards.write(docs, "ids", width=1, separator=255)[1]
+    """Every document's BPE token ids (the next id after the vocabulary between documents) in training order, in binary
+    shards of 32-bit ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    end = len(bpe.loaded(path, public_tokenizers.PATTERN).piece)
+    docs = staged(bpe.encode(table(spark, sf_dir, "documents").select("text"), path, public_tokenizers.PATTERN, keep=[]).select("ids"), "ids")
+    return shards.write(docs, "ids", width=4, separator=end)[1]
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,24 @@ def test_toxicity(spark, no_docs):
     assert {r.score for r in bare.collect()} == {0.0}
 
 
+def test_query_shards_token_ids(spark, sf_dir, monkeypatch):
+    import public_tokenizers
+
+    from lexigrove.llm import bpe, queries
+
+    made, write = [], shards.write
+    monkeypatch.setattr(shards, "write", lambda *a, **k: made.append(write(*a, **k)) or made[0])
+    n = queries.op10_training_shards(spark, sf_dir).count()
+    code = bpe.loaded(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    sequences = list(shards.read(made[0][0]))
+    stream = np.concatenate([sequences[int(s)] for s in shards.Feistel(n, 17).slot(np.arange(n))])
+    assert stream.dtype == np.dtype("<u4")
+    parts = np.split(stream, np.flatnonzero(stream == len(code.piece)))
+    got = sorted(code.decode(x[x != len(code.piece)].tobytes()) for x in parts)
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    assert [x for x in got if x] == sorted(t for t in texts if t)
+
+
 def test_layout_is_json(spark, texts):
     root = shards.write(spark.createDataFrame([(b"abc",)], "ids binary"), "ids", 1, 255, root=scratch_path(spark, "t"))[0]
     fs, top = shards._open(root)
