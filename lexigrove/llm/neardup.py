@@ -9,19 +9,23 @@
    The first round's hub is the set that the longest lists hold, so copies of one original join with it; later hubs
    are drawn anew for each list from its largest class. Classes are joined after each round.
 4. Pairs within lists follow, but only of members whose classes still differ: a class needs no second link.
-5. What is then still apart in longer compound lists is settled exactly, by prefix filtering over the full sets of
-   their members: elements that no other member has cannot count, the rarest of the others are the prefix, and only
-   pairs of different classes whose sizes allow the threshold are compared.
+5. What is then still apart in longer compound lists is settled exactly. Each member has a home: of the sets it was
+   compared with in the first round, the one that most others were compared with too. Two members of one home share at
+   most the smaller of their overlaps with it, so they can link only if they also share elements outside it (found by
+   prefix filtering over those: elements that no other member has cannot count, the rarest of the others are the
+   prefix), or if both overlaps alone would do. Members of different homes meet by prefix filtering over full sets. Only
+   pairs of different classes whose sizes and overlaps allow the threshold become rows.
 6. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
 Two sets over the threshold t share no usable key with a probability below 1e-8 at t = 0.8 (32 lowest values of the
 union, each shared with probability t; a pair is lost only if no infrequent value and no two neighbouring frequent ones
-are shared). However many infrequent values a set has, they may all be its own, so it has compound keys like any other.
+are shared). Every set with frequent values has compound keys: its infrequent ones may all be its own.
 The pruning bounds are at least six standard deviations away.
 
 Null and empty texts have an empty set: a class of their own each. Rows with a null id get a null class. Rows that
-repeat an id share its class; with different texts under one id, their classes join. Ties: the smallest id names the
-class. Only id and text are read, so other columns may have any name. An empty table gives an empty result.
+repeat an id with the same text share its class. Different texts under one id are each compared as sets of their own
+if their equals have another id; of those that have none, the one of the smallest key stands for the id. Ties: the
+smallest id names the class. Only id and text are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +43,6 @@ from lexigrove.llm.common import FOLD, NON_SPACE, Words, arrow_map, mix64, relea
 
 SKETCH, RETAINED = 64, 32
 SHORT, MEDIUM = 64, 256
-#: Not read any more: no number of infrequent values spares a set its compound keys. Kept as a test sets it.
-ENOUGH = RETAINED
 #: Rounds of hubs before pairs are made. More rounds leave fewer pairs; the result is the same.
 ROUNDS = 2
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -184,22 +186,23 @@ def _estimated(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return arrow_map(wide, run, pairs.select("a", "b").schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
-    """Pairs whose full sets reach similarity t (in whole percent, as the comparison is exact)."""
+def _compared(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
+    """a, b, both (elements that the full sets share), linked (similarity t in whole percent, as the comparison is exact)."""
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     texts = staged(docs.join(wanted, "rep", "left_semi"), "texts")
     percent = round(100 * t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(shingle_sets(batch.column(2), size), shingle_sets(batch.column(3), size), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                shared.append(both)
+                linked.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "both", "linked"])
 
     wide = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return arrow_map(wide, run, pairs.select("a", "b").schema)
+    return arrow_map(wide, run, pairs.select("a", "b").schema.add("both", "long").add("linked", "boolean"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,9 +220,21 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
-def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
-    """Candidates among members of long lists that are still in different classes, by prefix filtering."""
-    m = staged(_mixed(_classed(members, at)).select("rep", "root").distinct(), "members")
+def _homes(first: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, home, shares): of a set and those it was compared with, the one in most comparisons, and the overlap."""
+    ends = first.select(F.col("a").alias("rep"), F.col("b").alias("home"), "both").union(first.select("b", "a", "both"))
+    weight = ends.groupBy("home").agg(F.count(F.lit(1)).alias("weight"))
+    own = weight.join(sets.select(F.col("rep").alias("home"), F.col("n").alias("both")), "home")
+    some = ends.join(weight, "home").select("rep", "weight", "home", "both").union(own.select(F.col("home").alias("rep"), "weight", "home", "both"))
+    best = some.groupBy("rep").agg(F.max(F.struct("weight", "home", "both")).alias("h"))
+    return best.select("rep", "h.home", F.col("h.both").alias("shares"))
+
+
+def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
+    """Candidates among members of long lists that are still in different classes, by homes and prefix filtering."""
+    m = _mixed(_classed(members, at)).select("rep", "root").distinct().join(homes, "rep", "left")
+    m = m.withColumn("home", F.coalesce("home", "rep")).join(sets.select("rep", "n", "s1", "s2"), "rep")
+    m = staged(m.withColumn("shares", F.coalesce("shares", "n")), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,20 +244,42 @@ def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, docs: DataFrame, s
                 rep = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
                 yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(found) if found else [], pa.int64())], names=["rep", "e"])
 
-    wanted = docs.join(m, "rep", "left_semi").select("rep", "text")
+    wanted = docs.join(m.select("rep").union(m.select("home")).distinct(), "rep", "left_semi").select("rep", "text")
     elements = staged(arrow_map(wanted, run, f"rep {wanted.schema['rep'].dataType.simpleString()}, e long"), "elements")
-    shared = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    e = elements.join(shared, "e").join(sets.select("rep", "n", "s1", "s2"), "rep").join(m, "rep")
+    own = elements.join(m, "rep")
+    counted = own.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    inside = elements.join(m.select("home").distinct(), elements.rep == F.col("home"), "left_semi").select(F.col("rep").alias("home"), "e", F.lit(1).alias("inside"))
     by = Window.partitionBy("rep")
-    e = e.withColumn("size", F.count(F.lit(1)).over(by)).filter(F.col("size") >= F.ceil(F.col("n") * t - 1e-9))
-    e = e.withColumn("k", F.row_number().over(by.orderBy("c", "e")))
-    e = e.filter(F.col("k") <= F.col("size") - F.ceil(F.col("n") * t - 1e-9) + 1)
-    e = staged(e.withColumn("first", F.col("k") <= F.col("size") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1), "prefixes")
+    e = own.join(counted, "e").join(inside.distinct(), ["home", "e"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    e = e.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("beyond", F.sum(1 - F.col("inside")).over(by))
+    e = staged(e.withColumn("k", F.row_number().over(by.orderBy("inside", "c", "e"))).withColumn("j", F.row_number().over(by.orderBy("c", "e"))), "elements")
     a, b = _Side("a"), _Side("b")
-    need = (a.n + b.n) * (t / (1 + t)) - 1e-9
-    fits = (a.n < b.n) | ((a.n == b.n) & (a.rep != b.rep))
-    joined = e.filter("first").alias("a").join(e.alias("b"), [a.e == b.e, a.root != b.root, fits, F.least(a.size, b.size) >= need, _may_link(a, b, t)])
-    return joined.select(F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")).distinct()
+    # What a set must share with one at least as large as itself, and with any.
+    first, least, need = F.col("n") * (2 * t / (1 + t)), F.col("n") * t, (a.n + b.n) * (t / (1 + t)) - 1e-9
+    fits = (a.root != b.root) & ((a.n < b.n) | ((a.n == b.n) & (a.rep != b.rep))) & _may_link(a, b, t)
+
+    def prefix(rows: DataFrame, place: str, total: str, wanted: Column, wanted_first: Column) -> DataFrame:
+        rows = rows.filter(F.col(place) <= F.col(total) - wanted + 1)
+        return rows.withColumn("first", F.col(place) <= F.col(total) - wanted_first + 1)
+
+    def beyond(x: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(x - F.col("shares") - 1e-9))
+
+    near = staged(prefix(e.filter("inside = 0"), "k", "beyond", beyond(least), beyond(first)), "prefixes")
+    same = near.filter("first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
+    # Overlaps with the home that would do alone: only of sets small enough beside the smallest, one outside its class.
+    smallest = m.groupBy("home").agg(F.min("n").alias("smallest"))
+    enough = m.join(smallest, "home").filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares"))
+    inner = enough.join(m.select(F.col("rep").alias("home"), F.col("root").alias("home_root")), "home", "left")
+    outer = inner.filter("home_root is null or root <> home_root")
+    alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need])
+    far = staged(prefix(e, "j", "size", F.ceil(least - 1e-9), F.ceil(first - 1e-9)), "prefixes")
+    # Elements of one home only have no pair to give here.
+    several = far.groupBy("e").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("e")
+    far = far.join(several, "e", "left_semi")
+    other = far.filter("first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits, F.least(a.size, b.size) >= need])
+    ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
+    return same.select(*ends).union(alone.select(*ends)).union(other.select(*ends)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     full = every.filter("n > 0 and doc_id is not null")
     named = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     release(docs.sparkSession)
-    sets = staged(full.join(named, ["k1", "k2"]).filter("doc_id = rep").drop("doc_id", "k1", "k2").dropDuplicates(["rep"]), "sets")
+    best = full.join(named, ["k1", "k2"]).filter("doc_id = rep").groupBy("rep").agg(F.min(F.struct("k1", "k2", "n", "s1", "s2", "sketch")).alias("s"))
+    sets = staged(best.select("rep", "s.n", "s.s1", "s.s2", "s.sketch"), "sets")
     light = sets.select("rep", "n", "s1", "s2")
     values = retained(sets)
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -269,14 +307,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     short = lists.filter(F.col("c") <= SHORT).select(F.col("v").alias("x"), F.col("v").alias("y"), "c", "rep", "n", "s1", "s2")
     keys = short.unionByName(compound)
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
-    at = None
+    at, first = None, None
 
     def join_classes(candidates: DataFrame) -> None:
-        nonlocal at
+        nonlocal at, first
         pairs = staged(_estimated(candidates, sets, t), "pairs")
         if at is not None and pairs.isEmpty():
             return
-        links = _verified(pairs, texts, shingle, t)
+        compared = staged(_compared(pairs, texts, shingle, t), "compared")
+        first = compared if first is None else first
+        links = compared.filter("linked").select("a", "b")
         if at is not None:
             links = links.union(at.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
         at = components(links)
@@ -287,7 +327,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     join_classes(_paired(short.unionByName(compound.filter(F.col("c") <= MEDIUM)), at, t))
     members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
     if members.limit(1).count():
-        join_classes(_rest(members, at, sets, texts, shingle, t))
+        join_classes(_rest(members, at, sets, _homes(first, sets), texts, shingle, t))
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
@@ -297,7 +337,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
 
 
 def dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id. Rows without an id stay."""
+    """``docs`` with one row of each class: that of the smallest id, of several the one of the least text. Rows without
+    an id stay."""
     kept = near_duplicates(docs, shingle, threshold, doc_id, text).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     one = docs.filter(F.col(f"`{doc_id}`").isNotNull()).join(kept, F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
-    return one.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    turn = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(F.col(f"`{text}`")))
+    return one.withColumn("__turn", turn).filter("__turn = 1").drop("__turn").unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))

@@ -51,7 +51,6 @@ def test_classes(docs, texts, monkeypatch, size, lists):
     # Short lists of two drive nearly everything through pivots and prefix filtering.
     monkeypatch.setattr(neardup, "SHORT", lists[0])
     monkeypatch.setattr(neardup, "MEDIUM", lists[1])
-    monkeypatch.setattr(neardup, "ENOUGH", 12 if lists[0] > 2 else 99)
     want = classes([r[:2] for r in texts], size, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size, 0.8).collect()}
     assert got == want
@@ -78,6 +77,35 @@ def test_own_text_in_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2, 0.8).collect()} == want
 
 
+def test_star_of_a_document_and_its_extensions(spark):
+    # 400 words and 1,500 texts that append 99 of their own: each links with the first at 0.801, none with another.
+    base = " ".join(f"t{i}" for i in range(400))
+    rows = [(0, base), *((i, f"{base} " + " ".join(f"o{i}x{k}" for k in range(99))) for i in range(1, 1501))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = neardup.near_duplicates(docs, 2, 0.8).collect()
+    assert len(got) == 1501 and {r.component_id for r in got} == {0}
+
+
+def test_large_group_with_members_apart(spark):
+    # Copies of one text with own edits: some link with the centre, some only with others, some with none.
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(420):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(2, 11)), replace=False):
+            w[at] = f"e{rng.integers(0, 400)}" if i % 3 else f"own{i}x{at}"
+        rows.append((i, " ".join(w[: 120 - int(rng.integers(0, 6))])))
+    for i in range(420, 440):  # near copies of members that may be far from the centre
+        w = rows[i - 300][1].split(" ")
+        w[5] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    want = classes(rows, 2, 80)
+    assert 5 < len({c for _, c in want.values()}) < 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2, 0.8).collect()} == want
+
+
 def test_dedup_keeps_one_row_a_class(spark, docs, texts, no_docs):
     want = classes([r[:2] for r in texts], 5, 80)
     twice = docs.union(docs.filter("doc_id = 19")).union(spark.createDataFrame([(None, "no id", "", "")], docs.schema))
