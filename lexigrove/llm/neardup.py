@@ -17,9 +17,10 @@
    pairs of different classes whose sizes and overlaps allow the threshold become rows.
 6. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
-Two sets over the threshold t share no usable key with a probability below 1e-8 at t = 0.8 (32 lowest values of the
-union, each shared with probability t; a pair is lost only if no infrequent value and no two neighbouring frequent ones
-are shared). Every set with frequent values has compound keys: its infrequent ones may all be its own.
+Two sets at the threshold t share no usable key with a probability below 1e-7 at t = 0.8, and far less above it: a pair
+is lost only if no infrequent value and no two neighbouring frequent ones are shared. A set's infrequent values may all
+be its own, but each is with probability 1 - t at most, so a set with ``own_limit`` of them or more meets its partners
+under one of them (but for 1e-8, by the binomial tail) and has no compound keys.
 The pruning bounds are at least six standard deviations away.
 
 Null and empty texts have an empty set: a class of their own each. Rows with a null id get a null class. Rows that
@@ -30,6 +31,7 @@ smallest id names the class. Only id and text are read, so other columns may hav
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +70,16 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def own_limit(t: float, k: int = RETAINED, risk: float = 1e-8) -> int:
+    """The least count that own values among ``k`` retained ones reach with a probability below ``risk``."""
+    tail, p = 0.0, 1 - t
+    for x in range(k, -1, -1):
+        tail += math.comb(k, x) * p**x * t ** (k - x)
+        if tail >= risk:
+            return x + 1
+    return 0
+
+
 def _bins(values: np.ndarray) -> tuple[int, int]:
     """One bit of the lowest value in each of 128 equal stretches of the hash range, as two longs."""
     if not len(values):
@@ -246,38 +258,38 @@ def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame,
 
     wanted = docs.join(m.select("rep").union(m.select("home")).distinct(), "rep", "left_semi").select("rep", "text")
     elements = staged(arrow_map(wanted, run, f"rep {wanted.schema['rep'].dataType.simpleString()}, e long"), "elements")
-    own = elements.join(m, "rep")
+    lean = m.select("rep", "home", "n", "shares")
+    own = elements.join(lean, "rep")
     counted = own.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    inside = elements.join(m.select("home").distinct(), elements.rep == F.col("home"), "left_semi").select(F.col("rep").alias("home"), "e", F.lit(1).alias("inside"))
+    inside = elements.join(m.select("home").distinct(), elements.rep == F.col("home"), "left_semi").select(F.col("rep").alias("home"), "e", F.lit(1).alias("inside")).distinct()
     by = Window.partitionBy("rep")
-    e = own.join(counted, "e").join(inside.distinct(), ["home", "e"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    e = own.join(counted, "e").join(inside, ["home", "e"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
     e = e.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("beyond", F.sum(1 - F.col("inside")).over(by))
-    e = staged(e.withColumn("k", F.row_number().over(by.orderBy("inside", "c", "e"))).withColumn("j", F.row_number().over(by.orderBy("c", "e"))), "elements")
+    e = e.withColumn("k", F.row_number().over(by.orderBy("inside", "c", "e"))).withColumn("j", F.row_number().over(by.orderBy("c", "e")))
+    # What a set must share with one at least as large as itself, and with any: in all, and beyond the home.
+    first, least = F.col("n") * (2 * t / (1 + t)), F.col("n") * t
+    beyond = lambda x: F.greatest(F.lit(1), F.ceil(x - F.col("shares") - 1e-9))
+    within = {
+        "near": (F.col("inside") == 0) & (F.col("k") <= F.col("beyond") - beyond(least) + 1), "near_first": F.col("k") <= F.col("beyond") - beyond(first) + 1,
+        "far": F.col("j") <= F.col("size") - F.ceil(least - 1e-9) + 1, "far_first": F.col("j") <= F.col("size") - F.ceil(first - 1e-9) + 1,
+    }
+    e = staged(e.withColumns(within).filter("near or far").drop("inside", "k", "j", "n", "shares", "c", "home"), "prefixes").join(m, "rep")
     a, b = _Side("a"), _Side("b")
-    # What a set must share with one at least as large as itself, and with any.
-    first, least, need = F.col("n") * (2 * t / (1 + t)), F.col("n") * t, (a.n + b.n) * (t / (1 + t)) - 1e-9
+    need = (a.n + b.n) * (t / (1 + t)) - 1e-9
     fits = (a.root != b.root) & ((a.n < b.n) | ((a.n == b.n) & (a.rep != b.rep))) & _may_link(a, b, t)
-
-    def prefix(rows: DataFrame, place: str, total: str, wanted: Column, wanted_first: Column) -> DataFrame:
-        rows = rows.filter(F.col(place) <= F.col(total) - wanted + 1)
-        return rows.withColumn("first", F.col(place) <= F.col(total) - wanted_first + 1)
-
-    def beyond(x: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(x - F.col("shares") - 1e-9))
-
-    near = staged(prefix(e.filter("inside = 0"), "k", "beyond", beyond(least), beyond(first)), "prefixes")
-    same = near.filter("first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
+    near = e.filter("near")
+    same = near.filter("near_first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
     # Overlaps with the home that would do alone: only of sets small enough beside the smallest, one outside its class.
     smallest = m.groupBy("home").agg(F.min("n").alias("smallest"))
     enough = m.join(smallest, "home").filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares"))
     inner = enough.join(m.select(F.col("rep").alias("home"), F.col("root").alias("home_root")), "home", "left")
     outer = inner.filter("home_root is null or root <> home_root")
     alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need])
-    far = staged(prefix(e, "j", "size", F.ceil(least - 1e-9), F.ceil(first - 1e-9)), "prefixes")
-    # Elements of one home only have no pair to give here.
+    # Elements of one home only have no pair to give between homes.
+    far = e.filter("far")
     several = far.groupBy("e").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("e")
-    far = far.join(several, "e", "left_semi")
-    other = far.filter("first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits, F.least(a.size, b.size) >= need])
+    far = staged(far.join(several, "e", "left_semi"), "far")
+    other = far.filter("far_first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits, F.least(a.size, b.size) >= need])
     ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
     return same.select(*ends).union(alone.select(*ends)).union(other.select(*ends)).distinct()
 
@@ -297,8 +309,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     lists = staged(values.join(often, "v").join(light, "rep"), "lists")
     release(docs.sparkSession)
 
-    frequent = lists.filter(F.col("c") > SHORT)
-    chain = frequent.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("h"))
+    chain = lists.groupBy("rep").agg(F.sort_array(F.collect_list(F.when(F.col("c") > SHORT, F.col("v")))).alias("h"))
+    retained_by = sets.select("rep", F.least("n", F.lit(RETAINED)).alias("r"))
+    # Values in no other set are infrequent too. A set that is retained whole has (1 - t) of them as its own at most.
+    own = F.when(F.col("r") < RETAINED, F.floor(F.col("r") * (1 - t) + 1e-9) + 1).otherwise(own_limit(t))
+    chain = chain.join(retained_by, "rep").filter(F.col("r") - F.size("h") < own).drop("r")
     pairs_of = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("x"), F.get("h", i + 1).alias("y")))
     chain = chain.filter(F.size("h") > 1).select("rep", F.explode(pairs_of).alias("k")).select("rep", "k.x", "k.y")
     sizes = chain.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
