@@ -4,109 +4,223 @@ A text is cut into pre-tokens. A minimal perfect hash over the vocabulary (hash
 bucket, every slot used, the key kept for the check) resolves a pre-token that is itself a token. Any other is merged
 from its bytes: a linked list of pieces and a heap of mergeable neighbours, lowest rank first, leftmost on ties.
 
-The vocabulary file's path and the pattern are parameters; each Python worker loads them once. Ids are bytes of
+All of it works on a run of texts at a time, as arrays over their UTF-8 bytes: pre-tokens of up to 16 bytes are two
+integers and a length, equal ones of a run are resolved once, and a hash that two different ones share is found by
+comparing them all. Merges are remembered in the worker.
+
+The vocabulary file's path and the pattern are parameters; each Python worker loads them once. The common pattern
+``ARRAY_PATTERN`` is cut by arrays of character classes, any other by the ``regex`` module. Ids are bytes of
 little-endian unsigned 32-bit integers.
 
-Null texts are empty; empty texts have no ids. Very long texts are encoded in stretches of pre-tokens. Rows are
-independent: repeated rows and ids, nulls and other columns need no care, and an empty table gives an empty result.
+Null texts are empty; empty texts have no ids. Very long texts are encoded in stretches that end before white space.
+Rows are independent: repeated rows and ids and nulls need no care, and an empty table gives an empty result. Columns of
+the table that an added one would clash with are left out unless they are named in ``keep``, which is an error.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-import itertools
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.llm.common import arrow_map
-
-#: Pre-tokens remembered in a worker (about 80 MB); beyond, it starts anew.
-CACHE_TOKENS = 400_000
-#: Longer texts are encoded in stretches of so many pre-tokens.
-LONG_TEXT, STRETCH = 1 << 20, 1 << 16
-#: Rows turned into Python strings at a time.
-ROWS = 64
+from lexigrove.llm.common import arrow_map, carried, mix64, spread, text_steps
+
+#: Merged pre-tokens remembered in a worker (about 120 MB); beyond, it starts anew.
+CACHE_TOKENS = 600_000
+#: Bytes of one text that are encoded at a time.
+STRETCH = 8 << 20
+#: Fixed value: the pattern that is cut without a regular expression.
+ARRAY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, OTHER, SPACE = range(4)
+#: Bytes of a pre-token that two integers hold.
+WIDE = 16
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def char_classes() -> np.ndarray:
+    """The class of each code point."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
+            out[a : b + 1] = kind
+    out[0xD800:0xE000] = OTHER
+    return out
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that start at ``at``."""
+    lead = data[at].astype(np.uint32)
+    out = lead.copy()
+    padded = np.concatenate((data, np.zeros(4, np.uint8)))
+    for least, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        some = np.flatnonzero((lead >= least) & (lead < (0xE0, 0xF0, 0x100)[more - 1]))
+        if len(some):
+            value = lead[some] & mask
+            for k in range(1, more + 1):
+                value = value << 6 | (padded[at[some] + k] & 0x3F)
+            out[some] = value
+    return out
+
+
+def cut_arrays(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Byte offsets at which a pre-token of ``ARRAY_PATTERN`` starts; each ends where the next one starts."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    ascii_only = len(at) == len(data)
+    kinds = char_classes()[:128][data] if ascii_only else char_classes()[_points(data, at)]
+    n = len(at)
+    first = offs[:-1][np.diff(offs) > 0] if ascii_only else np.searchsorted(at, offs[:-1][np.diff(offs) > 0])
+    edge = np.zeros(n + 3, bool)
+    edge[first] = True
+    edge[n] = True
+    start = edge.copy()
+    start[1:n] |= kinds[1:] != kinds[:-1]
+    char = np.zeros(n + 3, np.uint8)
+    char[:n] = data[at]
+    # White space before something else in the same text: its last character stands alone, or joins what follows.
+    last = np.flatnonzero((kinds[:-1] == SPACE) & (kinds[1:] != SPACE) & ~edge[1:n])
+    start[last] = True
+    start[last[char[last] == 0x20] + 1] = False
+    # Contractions: a lone apostrophe that nothing was joined to, and the letters after it.
+    mark = np.flatnonzero((char[: n - 1] == 0x27) & start[: n - 1] & (kinds[1:] == LETTER) & ~edge[1:n])
+    if len(mark):
+        a, b = char[mark + 1], np.where(edge[mark + 2], 0, char[mark + 2])
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
+        some, size = mark[one | two], np.where(one, 1, 2)[one | two]
+        start[some + 1] = False
+        start[some + 1 + size] = True
+    return at[np.flatnonzero(start[:n])]
+
+
+def _hashed(k0: np.ndarray, k1: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix64(k0 ^ mix64(k1 + size.astype(np.uint64) * _SPREAD))
+
+
+def _halves(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the next eight bytes of byte runs as integers; only the first ``WIDE`` bytes count."""
+    padded = np.concatenate((data, np.zeros(WIDE, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    k0 = eight[starts] & _KEEP[np.minimum(size, 8)]
+    k1 = np.where(size > 8, eight[np.minimum(starts + 8, len(eight) - 1)] & _KEEP[np.clip(size - 8, 0, 8)], 0)
+    return k0, k1.astype(np.uint64)
 
 
 class PerfectHash:
     """bytes -> slot in 0..n-1 for n fixed keys, one slot each; -1 for anything else."""
 
     PER_BUCKET = 4
+    #: Displacements tried at a time.
+    TRIES = 64
 
     def __init__(self, keys: list[bytes]):
-        n = len(keys)
-        self.n, self.buckets = n, max(1, n // self.PER_BUCKET)
-        self.shift = [0] * self.buckets
-        self.slots: list[bytes | None] = [None] * n
-        by: list[list[tuple[int, int, bytes]]] = [[] for _ in range(self.buckets)]
-        for k in keys:
-            h = xxhash.xxh3_64_intdigest(k)
-            by[h % self.buckets].append((h, k))
-        order = sorted(range(self.buckets), key=lambda b: -len(by[b]))
-        free = 0
-        for b in order:
-            group = by[b]
-            if len(group) == 1:
-                # A bucket of one takes any free slot; a negative entry names it outright.
-                while self.slots[free] is not None:
-                    free += 1
-                self.slots[free], self.shift[b] = group[0][1], -1 - free
-                continue
-            d = 0
-            while group:
-                at = {self._slot(h, d) for h, _ in group}
-                if len(at) == len(group) and all(self.slots[x] is None for x in at):
-                    break
-                d += 1
-            self.shift[b] = d
-            for h, k in group:
-                self.slots[self._slot(h, d)] = k
-
-    def _slot(self, h: int, d: int) -> int:
+        n = self.n = len(keys)
+        self.buckets = max(1, n // self.PER_BUCKET)
+        h, k0, k1, size = self._parts(keys)
+        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        held = np.bincount(bucket, minlength=self.buckets)
+        by = np.argsort(bucket, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(held)))
+        self.shift = np.zeros(self.buckets, np.int64)
+        owner = np.full(n, -1, np.int64)
+        for b in np.argsort(-held, kind="stable"):
+            if held[b] < 2:
+                break
+            mine, d = by[begin[b] : begin[b + 1]], 0
+            while True:
+                tries = np.arange(d, d + self.TRIES, dtype=np.int64)
+                slots = self._slot(h[mine][None], tries[:, None])
+                fits = (owner[slots] < 0).all(1)
+                for row in np.flatnonzero(fits):
+                    if len(set(slots[row].tolist())) == len(mine):
+                        break
+                else:
+                    d += self.TRIES
+                    continue
+                break
+            self.shift[b], owner[slots[row]] = tries[row], mine
+        # A bucket of one takes any free slot; a negative entry names it outright.
+        single = np.flatnonzero(held == 1)
+        free = np.flatnonzero(owner < 0)
+        owner[free], self.shift[single] = by[begin[single]], -1 - free
+        self.slots = [keys[i] for i in owner.tolist()]
+        self.k0, self.k1, self.size = k0[owner], k1[owner], size[owner]
+
+    @staticmethod
+    def _parts(keys: list[bytes]) -> tuple[np.ndarray, ...]:
+        size = np.array([len(k) for k in keys], np.int64)
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        k0, k1 = _halves(data, np.cumsum(size) - size, size)
+        h = _hashed(k0, k1, size)
+        for i in np.flatnonzero(size > WIDE).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(keys[i])
+        return h, k0, k1, size
+
+    def _slot(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
         """A slot that each displacement draws anew, so a search for free ones cannot run in a circle."""
-        x = (h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        return ((x ^ x >> 29) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF) % 0xFFFFFFFFFFFFFFC5 % self.n
+        return (mix64(h ^ mix64(d.astype(np.uint64) * _SPREAD)) % np.uint64(self.n)).astype(np.int64)
+
+    def find_all(self, h: np.ndarray, k0: np.ndarray, k1: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Slots of keys of at most ``WIDE`` bytes."""
+        d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
+        at = np.where(d < 0, -1 - d, self._slot(h, np.maximum(d, 0)))
+        return np.where((self.k0[at] == k0) & (self.k1[at] == k1) & (self.size[at] == size), at, -1)
 
     def find(self, key: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(key)
-        d = self.shift[h % self.buckets]
-        at = -1 - d if d < 0 else self._slot(h, d)
+        h = self._parts([key])[0]
+        d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
+        at = int(-1 - d[0] if d[0] < 0 else self._slot(h, d)[0])
         return at if self.slots[at] == key else -1
 
 
-class ByteBPE(dict):
-    """Maps pre-tokens to id bytes, filling itself on a miss."""
+class ByteBPE:
+    """An encoder and decoder of runs of texts."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.cut = regex.compile(pattern)
+        self.pattern, self.regex = pattern, regex.compile(pattern)
         self.hash = PerfectHash(list(self.ranks))
-        self.ids = [self.ranks[k] for k in self.hash.slots]
+        self.ids = np.array([self.ranks[k] for k in self.hash.slots], np.uint32)
         self.piece: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for k, v in self.ranks.items():
             self.piece[v] = k
-
-    def __missing__(self, token: str) -> bytes:
-        raw = token.encode()
-        at = self.hash.find(raw)
-        out = array("I", [self.ids[at]] if at >= 0 else self.merged(raw)).tobytes()
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = out
+        self.piece_size = np.array([len(x) for x in self.piece], np.int64)
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.pieces = np.frombuffer(b"".join(self.piece), np.uint8)
+        self.known: dict[bytes, bytes] = {}
+        self.two = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int32)
+
+    def _one(self, raw: bytes, pairs: np.ndarray) -> bytes:
+        out = self.known.get(raw)
+        if out is None:
+            at = self.hash.find(raw) if len(raw) > WIDE else -1
+            out = array("I", [int(self.ids[at])] if at >= 0 else self.merged(raw, pairs.tolist())).tobytes()
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            if len(raw) <= 64:
+                self.known[raw] = out
         return out
 
-    def merged(self, raw: bytes) -> list[int]:
-        """Ids of ``raw`` from its bytes. ``end[i]`` is where the piece that starts at i ends, i.e. the next piece.
+    def merged(self, raw: bytes, pair: list[int]) -> list[int]:
+        """Ids of ``raw`` from its bytes and the ranks of its byte pairs (-1: none). ``end[i]`` is where the piece that
+        starts at i ends, i.e. the next piece.
 
         A heap entry is rank and start in one integer; it is stale unless ``pair[start]`` still is that rank.
         """
@@ -117,7 +231,6 @@ class ByteBPE(dict):
         mask = (1 << bits) - 1
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end.append(n)
-        pair = [rank(raw[i : i + 2], -1) for i in range(n - 1)]
         heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         pair.append(-1)
         heapify(heap)
@@ -148,14 +261,80 @@ class ByteBPE(dict):
             i = j
         return out
 
+    def _starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        if self.pattern == ARRAY_PATTERN:
+            return cut_arrays(data, offs)
+        sizes = [len(x.encode()) for a, b in zip(offs[:-1], offs[1:], strict=True) for x in self.regex.findall(data[a:b].tobytes().decode())]
+        if sum(sizes) != len(data):
+            raise ValueError("the pattern leaves bytes out")
+        return np.cumsum([0, *sizes])[:-1]
+
+    def _resolved(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(kind of each pre-token, ids a kind has, all kinds' ids, pre-tokens before each text)."""
+        starts = self._starts(data, offs)
+        size = np.diff(np.append(starts, len(data)))
+        k0, k1 = _halves(data, starts, size)
+        h = _hashed(k0, k1, size)
+        kind_h, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        wide = np.flatnonzero(size > WIDE)
+        same = (k0[first][kind] == k0) & (k1[first][kind] == k1) & (size[first][kind] == size)
+        odd = np.union1d(wide, np.flatnonzero(~same))
+        at = self.hash.find_all(kind_h, k0[first], k1[first], size[first])
+        at[size[first] > WIDE] = -1
+        miss = np.flatnonzero((at < 0) & (size[first] <= WIDE))
+        whole, pairs = data.tobytes(), self.two[data[:-1].astype(np.int32) << 8 | data[1:]]
+        # Long ones, and those whose hash another one has, are kinds of their own.
+        some = np.concatenate((first[miss], odd))
+        found = [self._one(whole[a:b], pairs[a : b - 1]) for a, b in zip(starts[some].tolist(), (starts[some] + size[some]).tolist(), strict=True)]
+        kind[odd] = len(kind_h) + np.arange(len(odd))
+        counts = np.ones(len(kind_h) + len(odd), np.int64)
+        some = np.concatenate((miss, len(kind_h) + np.arange(len(odd))))
+        counts[some] = [len(x) // 4 for x in found]
+        begin = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), np.uint32)
+        hit = np.flatnonzero(at >= 0)
+        ids[begin[hit]] = self.ids[at[hit]]
+        ids[spread(begin[some], counts[some])] = np.frombuffer(b"".join(found), np.uint32)
+        return kind, counts, ids, np.searchsorted(starts, offs)
+
+    def _stretches(self, data: np.ndarray) -> list[np.ndarray]:
+        """A long text in parts. A part ends before white space that follows something else, where a pre-token ends in
+        any case."""
+        out, at = [], 0
+        while len(data) - at > STRETCH:
+            lo = at + STRETCH
+            space = (data[lo:] == 0x20) | (data[lo:] == 0x0A)
+            here = np.flatnonzero(space[1:] & ~space[:-1] & (data[lo:-1] > 0x20) & (data[lo:-1] < 0x7F))
+            if not len(here):
+                break
+            out.append(data[at : lo + here[0] + 1])
+            at = lo + int(here[0]) + 1
+        return [*out, data[at:]]
+
+    def encode_all(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of consecutive texts, where each text's ids start and the end)."""
+        if len(offs) == 2 and len(data) > STRETCH and self.pattern == ARRAY_PATTERN:
+            made = np.concatenate([self._encoded(x, np.array([0, len(x)]))[0] for x in self._stretches(data)])
+            return made, np.array([0, len(made)])
+        return self._encoded(data, offs)
+
+    def _encoded(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind, counts, ids, bound = self._resolved(data, offs)
+        begin = np.cumsum(counts) - counts
+        each = counts[kind]
+        return ids[spread(begin[kind], each)], np.concatenate(([0], np.cumsum(each)))[bound]
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where each id's bytes start and the end)."""
+        size = self.piece_size[ids]
+        return self.pieces[spread(self.piece_at[ids], size)], np.concatenate(([0], np.cumsum(size)))
+
     def encode(self, text: str) -> bytes:
-        if len(text) <= LONG_TEXT:
-            return b"".join(map(self.__getitem__, self.cut.findall(text)))
-        found = (m.group() for m in self.cut.finditer(text))
-        return b"".join(b"".join(map(self.__getitem__, some)) for some in iter(lambda: list(itertools.islice(found, STRETCH)), []))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(raw, np.array([0, len(raw)]))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.piece.__getitem__, memoryview(ids).cast("I")))
+        return self.decode_all(np.frombuffer(ids, "<u4"))[0].tobytes()
 
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
@@ -168,50 +347,55 @@ def loaded(path: str, pattern: str) -> ByteBPE:
     return _LOADED[path, pattern]
 
 
-def _mapped(df: DataFrame, column: str, keep: list[str], schema: list[tuple[str, T.DataType, pa.DataType]], rows) -> DataFrame:
-    """``keep`` columns of ``df`` and those of ``schema``; ``rows`` turns a list of values into a list of tuples."""
-    chosen = df.select(*(df[k] for k in keep), df[column].alias("__in"))
-    out = T.StructType([*chosen.schema.fields[:-1], *(T.StructField(n, t) for n, t, _ in schema)])
+def _mapped(df: DataFrame, column: str, keep: list[str] | None, added: list[tuple[str, T.DataType]], made: Callable) -> DataFrame:
+    """``keep`` columns of ``df`` and the added ones; ``made`` turns bytes and offsets of a run of rows into their arrays."""
+    names = [n for n, _ in added]
+    kept = carried(df, keep, names)
+    own = [f"__own{k}" for k in range(len(kept))]
+    chosen = df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(kept, own, strict=True)), F.col(f"`{column}`").alias("__in"))
+    out = T.StructType([*chosen.schema.fields[:-1], *(T.StructField(n, t) for n, t in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                made = rows(part.column(part.num_columns - 1).to_pylist())
-                made = [pa.array([r[i] for r in made], type=t) for i, (_, _, t) in enumerate(schema)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=out.names)
+            for lo, hi, data, offs in text_steps(batch.column(batch.num_columns - 1)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], *made(data, offs)], names=out.names)
+
+    return arrow_map(chosen, run, out).select(*(F.col(n).alias(k) for n, k in zip(own, kept, strict=True)), *names)
 
-    return arrow_map(chosen, run, out)
+
+def _binary(data: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    width = data.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) and ``ids`` binary, ``n_tokens`` long."""
 
-    def rows(texts):
-        bpe = loaded(path, pattern)
-        return [(x := bpe.encode(t or ""), len(x) // 4) for t in texts]
+    def made(data, offs):
+        ids, bound = loaded(path, pattern).encode_all(data, offs)
+        return _binary(ids.astype("<u4", copy=False), bound), pa.array(np.diff(bound), pa.int64())
 
-    return _mapped(df, text, df.columns if keep is None else keep, [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())], rows)
+    return _mapped(df, text, keep, [("ids", T.BinaryType()), ("n_tokens", T.LongType())], made)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) and ``decoded`` binary: the bytes that the ids stand for (null: none)."""
 
-    def rows(values):
-        bpe = loaded(path, pattern)
-        return [(bpe.decode(bytes(x or b"")),) for x in values]
+    def made(data, offs):
+        out, bound = loaded(path, pattern).decode_all(np.frombuffer(data.tobytes(), "<u4"))
+        return [_binary(out, bound[offs // 4])]
 
-    return _mapped(df, ids, df.columns if keep is None else keep, [("decoded", T.BinaryType(), pa.binary())], rows)
+    return _mapped(df, ids, keep, [("decoded", T.BinaryType())], made)
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) and ``n_tokens`` long; ids stay in the worker."""
 
-    def rows(texts):
-        bpe = loaded(path, pattern)
-        return [(len(bpe.encode(t or "")) // 4,) for t in texts]
+    def made(data, offs):
+        return [pa.array(np.diff(loaded(path, pattern).encode_all(data, offs)[1]), pa.int64())]
 
-    return _mapped(df, text, df.columns if keep is None else keep, [("n_tokens", T.LongType(), pa.int64())], rows)
+    return _mapped(df, text, keep, [("n_tokens", T.LongType())], made)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -220,11 +404,12 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     One pass of a worker encodes and decodes, so the ids need not travel.
     """
 
-    def rows(texts):
-        bpe, out = loaded(path, pattern), []
-        for t in texts:
-            ids = bpe.encode(t or "")
-            out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-        return out
+    def made(data, offs):
+        bpe = loaded(path, pattern)
+        ids, bound = bpe.encode_all(data, offs)
+        back, at = bpe.decode_all(ids)
+        ids, at = ids.astype("<u4", copy=False), at[bound]
+        digests = [[hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(y[:-1].tolist(), y[1:].tolist(), strict=True)] for x, y in ((ids, bound), (back, at))]
+        return pa.array(np.diff(bound), pa.int64()), *(pa.array(x, pa.string()) for x in digests)
 
-    return _mapped(df, text, df.columns if keep is None else keep, [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())], rows)
+    return _mapped(df, text, keep, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], made)

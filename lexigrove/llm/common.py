@@ -163,9 +163,11 @@ def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple
     """(first row, end row, bytes, offsets from 0) of runs of rows with about ``step_bytes``; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
+        column = column.fill_null(b"" if raw else "")
+    wide = pa.large_binary() if raw else pa.large_string()
+    column = column.cast(wide) if column.type != wide else column
     n = len(column)
     if not n:
         return
@@ -180,6 +182,24 @@ def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple
         lo = hi
 
 
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All integers of the ranges [start, start + len), one range after the other."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))
+
+
+def carried(df: DataFrame, keep: list[str] | None, added: list[str]) -> list[str]:
+    """Columns to carry along: ``keep``, or all but those that an added one would clash with."""
+    names = {n.lower() for n in added}
+    if keep is None:
+        return [c for c in df.columns if c.lower() not in names]
+    if clash := [c for c in keep if c.lower() in names]:
+        raise ValueError(f"columns {clash} clash with added ones; rename them")
+    return keep
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are staged and no longer referenced."""
     gc.collect()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.llm.common import ALNUM_RAW, FOLD, Words, arrow_map, text_steps
+from lexigrove.llm.common import ALNUM_RAW, FOLD, Words, arrow_map, carried, text_steps
 
 WINDOW = 10
 #: Words of test items in one pass. The windows of a block are WINDOW times that many 32-bit symbols at most.
@@ -199,7 +199,8 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(t) for t in _blocks(items, item_id, item_text)]
-    chosen = docs.select(*(docs[k] for k in keep), docs[text].alias("__in"))
+    keep = carried(docs, keep, ["n_words", "spans", "items", *(["clean_text"] if cleaned else [])])
+    chosen = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__in"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     more = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
     more += [T.StructField("clean_text", T.StringType())] if cleaned else []

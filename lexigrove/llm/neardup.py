@@ -32,6 +32,7 @@ smallest id names the class. Only id and text are read, so other columns may hav
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ from lexigrove.llm.common import FOLD, NON_SPACE, Words, arrow_map, mix64, relea
 
 SKETCH, RETAINED = 64, 32
 SHORT, MEDIUM = 64, 256
+#: Residues of elements whose frequencies order them (2 MB as a broadcast, whatever the input).
+COUNTERS = 1 << 18
 #: Rounds of hubs before pairs are made. More rounds leave fewer pairs; the result is the same.
 ROUNDS = 2
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -142,11 +145,11 @@ class _Side:
         return F.col(f"{self.name}.{column}")
 
 
-def _classed(keys: DataFrame, at: DataFrame | None) -> DataFrame:
-    """``keys`` with each member's class so far (root)."""
+def _classed(rows: DataFrame, at: DataFrame | None) -> DataFrame:
+    """``rows`` with each set's class so far (root)."""
     if at is None:
-        return keys.withColumn("root", F.col("rep"))
-    return keys.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        return rows.withColumn("root", F.col("rep"))
+    return rows.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
 def _mixed(m: DataFrame) -> DataFrame:
@@ -155,26 +158,42 @@ def _mixed(m: DataFrame) -> DataFrame:
     return m.join(apart, ["x", "y"], "left_semi")
 
 
-def _spokes(keys: DataFrame, at: DataFrame | None, t: float, turn: int) -> DataFrame:
+def _short(base: DataFrame, at: DataFrame | None) -> DataFrame:
+    """Members of the short lists, a row each."""
+    return _classed(base.filter(F.size("short") > 0), at).select("rep", "root", "n", "s1", "s2", "weight", F.explode("short").alias("v"))
+
+
+def _spokes(base: DataFrame, compound: DataFrame, at: DataFrame | None, t: float, turn: int) -> DataFrame:
     """Pairs of each list's hub and its members of other classes that may link with it: a row a member at most."""
-    m = _classed(keys, at)
+    a, b = _Side("a"), _Side("b")
+    ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
+    # Short lists: at most SHORT rows in a window.
+    m = _short(base, at)
+    drawn = F.col("weight") if turn == 0 else F.xxhash64("rep", "v", F.lit(turn))
+    hub = F.max(F.struct(drawn.alias("w"), "rep", "root", "n", "s1", "s2")).over(Window.partitionBy("v"))
+    m = m.drop("weight") if turn else m
+    m = m.select(F.struct("rep", "root", "n", "s1", "s2").alias("b"), hub.alias("a")).filter((a.root != b.root) & _may_link(a, b, t))
+    pairs = m.select(*ends)
+    # Lists of compound keys have any length: a hub each by aggregation, then a join.
+    m = _classed(compound, at)
     if turn == 0:
-        central = keys.groupBy("rep").agg(F.sum("c").alias("weight"))
-        best = m.join(central, "rep").select("x", "y", "root", F.lit(1).alias("size"), F.struct("weight", "rep", "n", "s1", "s2").alias("p"))
+        best = m.select("x", "y", "root", F.lit(1).alias("size"), F.struct("weight", "rep", "n", "s1", "s2").alias("p"))
     else:
-        drawn = F.struct(F.xxhash64("rep", "x", "y", F.lit(turn)).alias("weight"), "rep", "n", "s1", "s2")
         m = _mixed(m)
-        best = m.groupBy("x", "y", "root").agg(F.count(F.lit(1)).alias("size"), F.max(drawn).alias("p"))
+        best = m.groupBy("x", "y", "root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(F.xxhash64("rep", "x", "y", F.lit(turn)).alias("weight"), "rep", "n", "s1", "s2")).alias("p"))
     hubs = best.groupBy("x", "y").agg(F.max(F.struct("size", "p", "root")).alias("h"))
     hubs = hubs.select("x", "y", "h.root", "h.p.rep", "h.p.n", "h.p.s1", "h.p.s2")
-    a, b = _Side("a"), _Side("b")
     joined = m.alias("b").join(hubs.alias("a"), [a.x == b.x, a.y == b.y, a.root != b.root, _may_link(a, b, t)])
-    return joined.select(F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")).distinct()
+    return pairs.union(joined.select(*ends)).distinct()
 
 
-def _paired(keys: DataFrame, at: DataFrame, t: float) -> DataFrame:
+def _paired(base: DataFrame, compound: DataFrame, at: DataFrame, t: float) -> DataFrame:
     """Pairs a < b of different classes within lists of bounded length that may link."""
-    m = staged(_mixed(_classed(keys, at)), "apart")
+    by = Window.partitionBy("v")
+    short = _short(base, at).drop("weight").withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo <> hi")
+    long = _mixed(_classed(compound.filter(F.col("c") <= MEDIUM), at))
+    columns = ["x", "y", "rep", "root", "n", "s1", "s2"]
+    m = staged(short.withColumn("x", F.col("v")).withColumn("y", F.col("v")).select(*columns).union(long.select(*columns)), "apart")
     a, b = _Side("a"), _Side("b")
     joined = m.alias("a").join(m.alias("b"), [a.x == b.x, a.y == b.y, a.rep < b.rep, a.root != b.root, _may_link(a, b, t)])
     return joined.select(a.rep.alias("a"), b.rep.alias("b")).distinct()
@@ -242,43 +261,70 @@ def _homes(first: DataFrame, sets: DataFrame) -> DataFrame:
     return best.select("rep", "h.home", F.col("h.both").alias("shares"))
 
 
+def _counters(texts: DataFrame, size: int) -> np.ndarray:
+    """How many sets hold elements of each of COUNTERS residues: an order of elements, of a fixed size."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for v in shingle_sets(batch.column(0), size):
+                np.add.at(out, (v & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                out += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["counts"])
+
+    # A row a task, then one of each of a few tasks to the driver.
+    some = arrow_map(arrow_map(texts.select("text"), counted, "counts binary").repartition(8), added, "counts binary")
+    return sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in some.collect()), np.zeros(COUNTERS, np.int64))
+
+
 def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
     """Candidates among members of long lists that are still in different classes, by homes and prefix filtering."""
     m = _mixed(_classed(members, at)).select("rep", "root").distinct().join(homes, "rep", "left")
     m = m.withColumn("home", F.coalesce("home", "rep")).join(sets.select("rep", "n", "s1", "s2"), "rep")
-    m = staged(m.withColumn("shares", F.coalesce("shares", "n")), "members")
+    m = staged(m.withColumn("shares", F.coalesce("shares", "n")).withColumn("beyond", F.col("n") - F.col("shares")), "members")
+    wanted = staged(docs.join(m.select("rep").union(m.select("home")).distinct(), "rep", "left_semi").select("rep", "text"), "texts")
+    both = m.select("rep", "home", "n", "shares").join(wanted, "rep").join(wanted.select(F.col("rep").alias("home"), F.col("text").alias("home_text")), "home")
+    both = both.sortWithinPartitions("home")
+    counts = docs.sparkSession.sparkContext.broadcast(_counters(wanted, size))
+
+    def prefixes(near: bool) -> DataFrame:
+        """(rep, e, first): the rarest elements, among which a partner must share one; ``near``: of those not in the
+        home, for partners of the same home. ``first`` is for partners at least as large."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            home, of = np.zeros(0, np.uint64), None
+            for batch in batches:
+                reps, found, firsts = [], [], []
+                texts = batch.column(4)
+                for i, (v, h, n, shares) in enumerate(zip(shingle_sets(batch.column(3), size), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    if near and h != of:
+                        home, of = next(shingle_sets(texts.slice(i, 1), size)), h
+                    rows = v[~np.isin(v, home, assume_unique=True)] if near else v
+                    least = [math.ceil(n * x - 1e-9) for x in (t, 2 * t / (1 + t))]
+                    least = [max(1, x - shares) if near else x for x in least]
+                    rows = rows[np.lexsort((rows, counts.value[(rows & np.uint64(COUNTERS - 1)).astype(np.int64)]))]
+                    rows = rows[: max(0, len(rows) - least[0] + 1)]
+                    reps.append(np.full(len(rows), i))
+                    found.append(rows.view(np.int64))
+                    firsts.append(np.arange(len(rows)) < len(v) - (shares if near else 0) - least[1] + 1)
+                if reps:
+                    rep = batch.column(5).take(pa.array(np.concatenate(reps)))
+                    yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(firsts), pa.bool_())], names=["rep", "e", "first"])
+
+        chosen = both.select("home", "n", "shares", "text", "home_text", "rep")
+        return staged(arrow_map(chosen, run, f"rep {chosen.schema['rep'].dataType.simpleString()}, e long, first boolean"), "prefixes").join(m, "rep")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = [v.view(np.int64) for v in shingle_sets(part.column(1), size)]
-                rep = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(found) if found else [], pa.int64())], names=["rep", "e"])
-
-    wanted = docs.join(m.select("rep").union(m.select("home")).distinct(), "rep", "left_semi").select("rep", "text")
-    elements = staged(arrow_map(wanted, run, f"rep {wanted.schema['rep'].dataType.simpleString()}, e long"), "elements")
-    lean = m.select("rep", "home", "n", "shares")
-    own = elements.join(lean, "rep")
-    counted = own.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    inside = elements.join(m.select("home").distinct(), elements.rep == F.col("home"), "left_semi").select(F.col("rep").alias("home"), "e", F.lit(1).alias("inside")).distinct()
-    by = Window.partitionBy("rep")
-    e = own.join(counted, "e").join(inside, ["home", "e"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
-    e = e.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("beyond", F.sum(1 - F.col("inside")).over(by))
-    e = e.withColumn("k", F.row_number().over(by.orderBy("inside", "c", "e"))).withColumn("j", F.row_number().over(by.orderBy("c", "e")))
-    # What a set must share with one at least as large as itself, and with any: in all, and beyond the home.
-    first, least = F.col("n") * (2 * t / (1 + t)), F.col("n") * t
-    beyond = lambda x: F.greatest(F.lit(1), F.ceil(x - F.col("shares") - 1e-9))
-    within = {
-        "near": (F.col("inside") == 0) & (F.col("k") <= F.col("beyond") - beyond(least) + 1), "near_first": F.col("k") <= F.col("beyond") - beyond(first) + 1,
-        "far": F.col("j") <= F.col("size") - F.ceil(least - 1e-9) + 1, "far_first": F.col("j") <= F.col("size") - F.ceil(first - 1e-9) + 1,
-    }
-    e = staged(e.withColumns(within).filter("near or far").drop("inside", "k", "j", "n", "shares", "c", "home"), "prefixes").join(m, "rep")
     a, b = _Side("a"), _Side("b")
     need = (a.n + b.n) * (t / (1 + t)) - 1e-9
     fits = (a.root != b.root) & ((a.n < b.n) | ((a.n == b.n) & (a.rep != b.rep))) & _may_link(a, b, t)
-    near = e.filter("near")
-    same = near.filter("near_first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
+    near = prefixes(True)
+    same = near.filter("first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
     # Overlaps with the home that would do alone: only of sets small enough beside the smallest, one outside its class.
     smallest = m.groupBy("home").agg(F.min("n").alias("smallest"))
     enough = m.join(smallest, "home").filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares"))
@@ -286,10 +332,10 @@ def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame,
     outer = inner.filter("home_root is null or root <> home_root")
     alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need])
     # Elements of one home only have no pair to give between homes.
-    far = e.filter("far")
+    far = prefixes(False)
     several = far.groupBy("e").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("e")
     far = staged(far.join(several, "e", "left_semi"), "far")
-    other = far.filter("far_first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits, F.least(a.size, b.size) >= need])
+    other = far.filter("first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits])
     ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
     return same.select(*ends).union(alone.select(*ends)).union(other.select(*ends)).distinct()
 
@@ -303,24 +349,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     release(docs.sparkSession)
     best = full.join(named, ["k1", "k2"]).filter("doc_id = rep").groupBy("rep").agg(F.min(F.struct("k1", "k2", "n", "s1", "s2", "sketch")).alias("s"))
     sets = staged(best.select("rep", "s.n", "s.s1", "s.s2", "s.sketch"), "sets")
-    light = sets.select("rep", "n", "s1", "s2")
     values = retained(sets)
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lists = staged(values.join(often, "v").join(light, "rep"), "lists")
-    release(docs.sparkSession)
-
-    chain = lists.groupBy("rep").agg(F.sort_array(F.collect_list(F.when(F.col("c") > SHORT, F.col("v")))).alias("h"))
-    retained_by = sets.select("rep", F.least("n", F.lit(RETAINED)).alias("r"))
+    of = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("v"))))
+    held = values.join(often, "v").groupBy("rep").agg(F.sum("c").alias("weight"), of(F.col("c") <= SHORT).alias("short"), of(F.col("c") > SHORT).alias("h"))
     # Values in no other set are infrequent too. A set that is retained whole has (1 - t) of them as its own at most.
-    own = F.when(F.col("r") < RETAINED, F.floor(F.col("r") * (1 - t) + 1e-9) + 1).otherwise(own_limit(t))
-    chain = chain.join(retained_by, "rep").filter(F.col("r") - F.size("h") < own).drop("r")
+    r = F.least("n", F.lit(RETAINED))
+    own = F.when(r < RETAINED, F.floor(r * (1 - t) + 1e-9) + 1).otherwise(own_limit(t))
     pairs_of = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("x"), F.get("h", i + 1).alias("y")))
-    chain = chain.filter(F.size("h") > 1).select("rep", F.explode(pairs_of).alias("k")).select("rep", "k.x", "k.y")
-    sizes = chain.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    compound = staged(chain.join(sizes, ["x", "y"]).join(light, "rep"), "compound")
-
-    short = lists.filter(F.col("c") <= SHORT).select(F.col("v").alias("x"), F.col("v").alias("y"), "c", "rep", "n", "s1", "s2")
-    keys = short.unionByName(compound)
+    chain = F.when((F.size("h") > 1) & (r - F.size("h") < own), pairs_of)
+    base = staged(held.join(sets.drop("sketch"), "rep").withColumn("chain", chain).drop("h"), "lists")
+    release(docs.sparkSession)
+    chains = base.select("rep", "n", "s1", "s2", "weight", F.explode("chain").alias("k")).select("rep", "n", "s1", "s2", "weight", "k.x", "k.y")
+    sizes = chains.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    compound = staged(chains.join(sizes, ["x", "y"]), "compound")
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
     at, first = None, None
 
@@ -338,8 +380,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
         release(docs.sparkSession)
 
     for turn in range(ROUNDS):
-        join_classes(_spokes(keys, at, t, turn))
-    join_classes(_paired(short.unionByName(compound.filter(F.col("c") <= MEDIUM)), at, t))
+        join_classes(_spokes(base, compound, at, t, turn))
+    join_classes(_paired(base, compound, at, t))
     members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
     if members.limit(1).count():
         join_classes(_rest(members, at, sets, _homes(first, sets), texts, shingle, t))

@@ -142,4 +142,7 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that are rejected."""
-    return judge(docs, text).filter(F.col(f"{HELD}.kept")).drop(HELD)
+    own = [f"__own{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)))
+    kept = judge(inner, own[docs.columns.index(text)]).filter(F.col(f"{HELD}.kept"))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)))

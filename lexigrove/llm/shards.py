@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import arrow_map, mix64, scratch_path
 
 ROUNDS = 6
+#: Tasks that write shards; with more shards, each writes a range of them.
+MOST_TASKS = 20_000
 
 
 class Feistel:
@@ -144,7 +146,11 @@ def write(df: DataFrame, ids: str, width: int, separator: int, length: int = 204
         def close() -> None:
             if out is not None:
                 out.close()
-                fs.move(temporary, f"{top}/shards/{at:08d}.bin")
+                # A task that runs again writes the same bytes: what is there already may stay.
+                if fs.get_file_info(f"{top}/shards/{at:08d}.bin").type == pafs.FileType.NotFound:
+                    fs.move(temporary, f"{top}/shards/{at:08d}.bin")
+                else:
+                    fs.delete_file(temporary)
 
         for batch in batches:
             crcs = []
@@ -164,7 +170,9 @@ def write(df: DataFrame, ids: str, width: int, separator: int, length: int = 204
         close()
 
     dealt = arrow_map(rows, cut, "shard int, slot long, number long, body binary")
-    dealt = dealt.repartitionById(max(1, layout.shards), F.col("shard")).sortWithinPartitions("slot")
+    # A task writes a contiguous range of shards, one after the other.
+    each = -(-layout.shards // max(1, min(layout.shards, MOST_TASKS)))
+    dealt = dealt.repartitionById(max(1, -(-layout.shards // max(1, each))), (F.col("shard") / max(1, each)).cast("int")).sortWithinPartitions("slot")
     return root, arrow_map(dealt, put, "slot long, number long, shard int, byte_offset long, crc32 long")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.llm.common import NON_SPACE, Words, arrow_map, mix64, release, staged, text_steps
+from lexigrove.llm.common import NON_SPACE, Words, arrow_map, carried, mix64, release, staged, text_steps
 
 WINDOW, GRAM = 35, 6
 HOT = 1024
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     spans = runs.join(marks, ["m", "c"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("__spans"))
     spans = staged(spans, "spans")
     release(spark)
-    kept = docs.columns if keep is None else keep
+    kept = carried(docs, keep, ["n_words", "n_removed", "kept_text"])
     joined = keyed.join(spans, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2")), "left")
     joined = joined.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"), "__spans")
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]

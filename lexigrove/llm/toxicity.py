@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import ALNUM_RAW, FOLD, Words, arrow_map, mix64, text_steps
+from lexigrove.llm.common import ALNUM_RAW, FOLD, Words, arrow_map, carried, mix64, text_steps
 
 FIT_ROWS = 20_000
 VOTERS = 400
@@ -197,7 +197,7 @@ def classifier(votes: np.ndarray, posterior: np.ndarray) -> tuple[np.ndarray, fl
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``keep`` columns (default all) and ``score``, the probability of being toxic."""
-    kept = docs.columns if keep is None else keep
+    kept = carried(docs, keep, ["score"])
     chosen = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # VOTERS weights
     schema = chosen.drop("__text").schema.add("score", "double")

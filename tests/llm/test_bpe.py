@@ -4,6 +4,7 @@ import base64
 import hashlib
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,6 +38,32 @@ def test_equals_library(library, text):
     assert own.decode(own.encode(text)) == text.encode()
 
 
+MARKS = ["'s", "'re", "'x", "'", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "é", "Ω", "日", "1", "²", "٣", "!", "…", "😀", "s", "ve", "''", " '", "ll", "ＡＢ"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(MARKS), max_size=12).map("".join), max_size=5))
+def test_cuts_equal_the_pattern(texts):
+    import regex
+
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    want = [int(o) + len(t[: m.start()].encode()) for o, t in zip(offs, texts, strict=False) for m in regex.finditer(PATTERN, t)]
+    assert bpe.cut_arrays(np.frombuffer(b"".join(raw), np.uint8), offs).tolist() == want
+
+
+def test_other_pattern_and_shared_hashes(monkeypatch, library):
+    other = r"\w+|\W+"
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    text = "some words, and: more don't\n 日本 " * 5
+    assert bpe.ByteBPE(PATH, other).encode(text) == array("I", enc.encode_ordinary(text)).tobytes()
+    own = bpe.loaded(PATH, PATTERN)
+    monkeypatch.setattr(bpe, "_hashed", lambda k0, k1, size: (k0 % np.uint64(3)).astype(np.uint64))
+    assert own.encode(text) == array("I", library.encode_ordinary(text)).tobytes()
+
+
 def test_odd_texts(library):
     own = bpe.loaded(PATH, PATTERN)
     for t in ["", "<|endoftext|>", "a" * 3000, " " * 999, "日本語" * 300, "don't DON'T", "\x00﻿ é😀"]:
@@ -44,9 +71,9 @@ def test_odd_texts(library):
 
 
 def test_long_text_in_stretches(monkeypatch, library):
-    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
     monkeypatch.setattr(bpe, "STRETCH", 7)
     own = bpe.loaded(PATH, PATTERN)
+    assert len(own._stretches(np.frombuffer(b"some words and more 123 words\n" * 20, np.uint8))) > 20
     assert own.encode("some words and more 123 words\n" * 20) == array("I", library.encode_ordinary("some words and more 123 words\n" * 20)).tobytes()
 
 
