@@ -369,12 +369,16 @@ def _binary(data: np.ndarray, bound: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default all) and ``ids`` binary, ``n_tokens`` long."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, width: int = 4) -> DataFrame:
+    """``keep`` columns (default all) and ``ids`` binary, ``n_tokens`` long. ``width``: bytes an id, 4, or 2 for a
+    vocabulary of at most 65,536."""
 
     def made(data, offs):
-        ids, bound = loaded(path, pattern).encode_all(data, offs)
-        return _binary(ids.astype("<u4", copy=False), bound), pa.array(np.diff(bound), pa.int64())
+        bpe = loaded(path, pattern)
+        if len(bpe.piece) > 1 << 8 * width:
+            raise ValueError(f"ids of this vocabulary do not fit in {width} bytes")
+        ids, bound = bpe.encode_all(data, offs)
+        return _binary(ids.astype(f"<u{width}", copy=False), bound), pa.array(np.diff(bound), pa.int64())
 
     return _mapped(df, text, keep, [("ids", T.BinaryType()), ("n_tokens", T.LongType())], made)
 

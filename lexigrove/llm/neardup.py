@@ -8,13 +8,12 @@
 3. Rounds: in every list, one hub is compared with the members that are not in its class, which costs a row a member.
    The first round's hub is the set that the longest lists hold, so copies of one original join with it; later hubs
    are drawn anew for each list from its largest class. Classes are joined after each round.
-4. Pairs within lists follow, but only of members whose classes still differ: a class needs no second link.
-5. What is then still apart in longer compound lists is settled exactly. Each member has a home: of the sets it was
-   compared with in the first round, the one that most others were compared with too. Two members of one home share at
-   most the smaller of their overlaps with it, so they can link only if they also share elements outside it (found by
-   prefix filtering over those: elements that no other member has cannot count, the rarest of the others are the
-   prefix), or if both overlaps alone would do. Members of different homes meet by prefix filtering over full sets. Only
-   pairs of different classes whose sizes and overlaps allow the threshold become rows.
+4. Each set has a home: of the sets it was compared with in the first round, the one that most others were compared
+   with too. Pairs within lists follow, but only of members whose classes and homes differ: a class needs no second link.
+5. Two sets of one home share at most the smaller of their overlaps with it, so they can link only if they also share
+   elements outside it (found by prefix filtering over those, rarest elements first), or if both overlaps alone would
+   do. Members of longer compound lists and different homes meet by prefix filtering over full sets. Only pairs of
+   different classes whose sizes and overlaps allow the threshold become rows.
 6. Candidates are estimated on the union's sketch, survivors verified on full sets, links joined into classes.
 
 Two sets at the threshold t share no usable key with a probability below 1e-7 at t = 0.8, and far less above it: a pair
@@ -187,15 +186,16 @@ def _spokes(base: DataFrame, compound: DataFrame, at: DataFrame | None, t: float
     return pairs.union(joined.select(*ends)).distinct()
 
 
-def _paired(base: DataFrame, compound: DataFrame, at: DataFrame, t: float) -> DataFrame:
-    """Pairs a < b of different classes within lists of bounded length that may link."""
+def _paired(base: DataFrame, compound: DataFrame, homes: DataFrame, at: DataFrame, t: float) -> DataFrame:
+    """Pairs a < b of different classes and homes within lists of bounded length that may link."""
     by = Window.partitionBy("v")
     short = _short(base, at).drop("weight").withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo <> hi")
     long = _mixed(_classed(compound.filter(F.col("c") <= MEDIUM), at))
     columns = ["x", "y", "rep", "root", "n", "s1", "s2"]
-    m = staged(short.withColumn("x", F.col("v")).withColumn("y", F.col("v")).select(*columns).union(long.select(*columns)), "apart")
+    m = short.withColumn("x", F.col("v")).withColumn("y", F.col("v")).select(*columns).union(long.select(*columns))
+    m = staged(m.join(homes.select("rep", "home"), "rep", "left").withColumn("home", F.coalesce("home", "rep")), "apart")
     a, b = _Side("a"), _Side("b")
-    joined = m.alias("a").join(m.alias("b"), [a.x == b.x, a.y == b.y, a.rep < b.rep, a.root != b.root, _may_link(a, b, t)])
+    joined = m.alias("a").join(m.alias("b"), [a.x == b.x, a.y == b.y, a.rep < b.rep, a.root != b.root, a.home != b.home, _may_link(a, b, t)])
     return joined.select(a.rep.alias("a"), b.rep.alias("b")).distinct()
 
 
@@ -284,59 +284,78 @@ def _counters(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
-    """Candidates among members of long lists that are still in different classes, by homes and prefix filtering."""
-    m = _mixed(_classed(members, at)).select("rep", "root").distinct().join(homes, "rep", "left")
+    """Candidates among sets of one home, and of different homes among members of long lists, that are still in
+    different classes."""
+    kin = _classed(homes, at)
+    apart = kin.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("home")
+    kin = kin.join(apart, "home", "left_semi").select("rep", F.lit(False).alias("listed"))
+    listed = _mixed(_classed(members, at)).select("rep", F.lit(True).alias("listed"))
+    m = _classed(kin.union(listed).groupBy("rep").agg(F.max("listed").alias("listed")), at).join(homes, "rep", "left")
     m = m.withColumn("home", F.coalesce("home", "rep")).join(sets.select("rep", "n", "s1", "s2"), "rep")
     m = staged(m.withColumn("shares", F.coalesce("shares", "n")).withColumn("beyond", F.col("n") - F.col("shares")), "members")
     wanted = staged(docs.join(m.select("rep").union(m.select("home")).distinct(), "rep", "left_semi").select("rep", "text"), "texts")
-    both = m.select("rep", "home", "n", "shares").join(wanted, "rep").join(wanted.select(F.col("rep").alias("home"), F.col("text").alias("home_text")), "home")
+    both = m.select("rep", "home", "n", "shares", "listed").join(wanted, "rep").join(wanted.select(F.col("rep").alias("home"), F.col("text").alias("home_text")), "home")
     both = both.sortWithinPartitions("home")
     counts = docs.sparkSession.sparkContext.broadcast(_counters(wanted, size))
 
-    def prefixes(near: bool) -> DataFrame:
-        """(rep, e, first): the rarest elements, among which a partner must share one; ``near``: of those not in the
-        home, for partners of the same home. ``first`` is for partners at least as large."""
+    def elements(near: bool) -> DataFrame:
+        """(rep, e, first). ``near``: what a set has beyond its home. Else the rarest elements, among which a partner must
+        share one; ``first`` is for partners at least as large."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             home, of = np.zeros(0, np.uint64), None
             for batch in batches:
                 reps, found, firsts = [], [], []
-                texts = batch.column(4)
-                for i, (v, h, n, shares) in enumerate(zip(shingle_sets(batch.column(3), size), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    if near and h != of:
-                        home, of = next(shingle_sets(texts.slice(i, 1), size)), h
-                    rows = v[~np.isin(v, home, assume_unique=True)] if near else v
-                    least = [math.ceil(n * x - 1e-9) for x in (t, 2 * t / (1 + t))]
-                    least = [max(1, x - shares) if near else x for x in least]
-                    rows = rows[np.lexsort((rows, counts.value[(rows & np.uint64(COUNTERS - 1)).astype(np.int64)]))]
-                    rows = rows[: max(0, len(rows) - least[0] + 1)]
+                for i, (v, h) in enumerate(zip(shingle_sets(batch.column(1), size), batch.column(0).to_pylist(), strict=True)):
+                    if near:
+                        if h != of:
+                            home, of = next(shingle_sets(batch.column(2).slice(i, 1), size)), h
+                        rows, most = v[~np.isin(v, home, assume_unique=True)], 0
+                    else:
+                        least, most = (len(v) - math.ceil(len(v) * x - 1e-9) + 1 for x in (t, 2 * t / (1 + t)))
+                        rows = v[np.lexsort((v, counts.value[(v & np.uint64(COUNTERS - 1)).astype(np.int64)]))][:least]
                     reps.append(np.full(len(rows), i))
                     found.append(rows.view(np.int64))
-                    firsts.append(np.arange(len(rows)) < len(v) - (shares if near else 0) - least[1] + 1)
+                    firsts.append(np.arange(len(rows)) < most)
                 if reps:
-                    rep = batch.column(5).take(pa.array(np.concatenate(reps)))
+                    rep = batch.column(3).take(pa.array(np.concatenate(reps)))
                     yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(firsts), pa.bool_())], names=["rep", "e", "first"])
 
-        chosen = both.select("home", "n", "shares", "text", "home_text", "rep")
-        return staged(arrow_map(chosen, run, f"rep {chosen.schema['rep'].dataType.simpleString()}, e long, first boolean"), "prefixes").join(m, "rep")
+        chosen = both if near else both.filter("listed")
+        chosen = chosen.select("home", "text", "home_text", "rep")
+        return staged(arrow_map(chosen, run, f"rep {chosen.schema['rep'].dataType.simpleString()}, e long, first boolean"), "elements").join(m, "rep")
 
     a, b = _Side("a"), _Side("b")
     need = (a.n + b.n) * (t / (1 + t)) - 1e-9
     fits = (a.root != b.root) & ((a.n < b.n) | ((a.n == b.n) & (a.rep != b.rep))) & _may_link(a, b, t)
-    near = prefixes(True)
-    same = near.filter("first").alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
-    # Overlaps with the home that would do alone: only of sets small enough beside the smallest, one outside its class.
-    smallest = m.groupBy("home").agg(F.min("n").alias("smallest"))
-    enough = m.join(smallest, "home").filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares"))
-    inner = enough.join(m.select(F.col("rep").alias("home"), F.col("root").alias("home_root")), "home", "left")
-    outer = inner.filter("home_root is null or root <> home_root")
+    ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
+    # What most sets of a home have counts as part of it: the home itself is one of them, with changes of its own.
+    near = elements(True).select("rep", "home", "e")
+    counted = near.groupBy("home", "e").agg(F.count(F.lit(1)).alias("c"))
+    sizes = m.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("smallest"))
+    by = Window.partitionBy("rep")
+    near = near.join(counted, ["home", "e"]).join(sizes, "home").withColumn("common", (F.col("c") > 2) & (2 * F.col("c") >= F.col("members")))
+    near = near.withColumn("gained", F.count_if("common").over(by)).withColumn("k", F.row_number().over(by.orderBy("common", "c", "e")))
+    near = staged(near.select("rep", "e", "c", "common", "gained", "k"), "near")
+    gained = near.groupBy("rep").agg(F.max("gained").alias("gained"))
+    m = m.join(gained, "rep", "left").withColumn("gained", F.coalesce("gained", F.lit(0)))
+    m = m.withColumn("shares", F.col("shares") + F.col("gained")).withColumn("beyond", F.col("beyond") - F.col("gained")).drop("gained").join(sizes, "home")
+    m = staged(m, "members")
+    # Rarest first: a partner of at least the smallest size shares one of these.
+    wanted = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("smallest")) * (t / (1 + t)) - F.col("shares") - 1e-9))
+    near = staged(near.filter("c > 1 and not common").join(m, "rep").filter(F.col("k") <= F.col("beyond") - wanted + 1), "near")
+    same = near.alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
+    # Overlaps with the home that would do alone: only of sets small enough beside the smallest.
+    enough = staged(m.filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares")), "enough")
+    # Of two classes one is not the home's largest.
+    largest = m.groupBy("home", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max_by("root", "k").alias("largest"))
+    outer = enough.join(largest, "home").filter("root <> largest")
     alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need])
     # Elements of one home only have no pair to give between homes.
-    far = prefixes(False)
+    far = elements(False)
     several = far.groupBy("e").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("e")
     far = staged(far.join(several, "e", "left_semi"), "far")
     other = far.filter("first").alias("a").join(far.alias("b"), [a.e == b.e, a.home != b.home, fits])
-    ends = [F.least(a.rep, b.rep).alias("a"), F.greatest(a.rep, b.rep).alias("b")]
     return same.select(*ends).union(alone.select(*ends)).union(other.select(*ends)).distinct()
 
 
@@ -352,7 +371,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     values = retained(sets)
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     of = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("v"))))
-    held = values.join(often, "v").groupBy("rep").agg(F.sum("c").alias("weight"), of(F.col("c") <= SHORT).alias("short"), of(F.col("c") > SHORT).alias("h"))
+    held = values.join(often, "v").groupBy("rep").agg(F.sum(F.log2("c")).alias("weight"), of(F.col("c") <= SHORT).alias("short"), of(F.col("c") > SHORT).alias("h"))
     # Values in no other set are infrequent too. A set that is retained whole has (1 - t) of them as its own at most.
     r = F.least("n", F.lit(RETAINED))
     own = F.when(r < RETAINED, F.floor(r * (1 - t) + 1e-9) + 1).otherwise(own_limit(t))
@@ -364,27 +383,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     sizes = chains.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     compound = staged(chains.join(sizes, ["x", "y"]), "compound")
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
-    at, first = None, None
+    at = None
 
-    def join_classes(candidates: DataFrame) -> None:
-        nonlocal at, first
+    def join_classes(candidates: DataFrame) -> DataFrame:
+        nonlocal at
         pairs = staged(_estimated(candidates, sets, t), "pairs")
-        if at is not None and pairs.isEmpty():
-            return
         compared = staged(_compared(pairs, texts, shingle, t), "compared")
-        first = compared if first is None else first
         links = compared.filter("linked").select("a", "b")
         if at is not None:
             links = links.union(at.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
         at = components(links)
         release(docs.sparkSession)
+        return compared
 
-    for turn in range(ROUNDS):
+    homes = staged(_homes(join_classes(_spokes(base, compound, at, t, 0)), sets), "homes")
+    for turn in range(1, ROUNDS):
         join_classes(_spokes(base, compound, at, t, turn))
-    join_classes(_paired(base, compound, at, t))
+    join_classes(_paired(base, compound, homes, at, t))
     members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
-    if members.limit(1).count():
-        join_classes(_rest(members, at, sets, _homes(first, sets), texts, shingle, t))
+    join_classes(_rest(members, at, sets, homes, texts, shingle, t))
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))

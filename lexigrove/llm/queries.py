@@ -41,11 +41,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE token ids (the next id after the vocabulary between documents) in training order, in binary
-    shards of 32-bit ids."""
+    shards of 16-bit ids, which hold the vocabulary of 50,256."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     end = len(bpe.loaded(path, public_tokenizers.PATTERN).piece)
-    docs = staged(bpe.encode(table(spark, sf_dir, "documents").select("text"), path, public_tokenizers.PATTERN, keep=[]).select("ids"), "ids")
-    return shards.write(docs, "ids", width=4, separator=end)[1]
+    docs = staged(bpe.encode(table(spark, sf_dir, "documents").select("text"), path, public_tokenizers.PATTERN, keep=[], width=2).select("ids"), "ids")
+    return shards.write(docs, "ids", width=2, separator=end)[1]
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
