@@ -178,7 +178,6 @@ def _spokes(base: DataFrame, compound: DataFrame, at: DataFrame | None, t: float
     if turn == 0:
         best = m.select("x", "y", "root", F.lit(1).alias("size"), F.struct("weight", "rep", "n", "s1", "s2").alias("p"))
     else:
-        m = _mixed(m)
         best = m.groupBy("x", "y", "root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(F.xxhash64("rep", "x", "y", F.lit(turn)).alias("weight"), "rep", "n", "s1", "s2")).alias("p"))
     hubs = best.groupBy("x", "y").agg(F.max(F.struct("size", "p", "root")).alias("h"))
     hubs = hubs.select("x", "y", "h.root", "h.p.rep", "h.p.n", "h.p.s1", "h.p.s2")
@@ -188,9 +187,13 @@ def _spokes(base: DataFrame, compound: DataFrame, at: DataFrame | None, t: float
 
 def _paired(base: DataFrame, compound: DataFrame, homes: DataFrame, at: DataFrame, t: float) -> DataFrame:
     """Pairs a < b of different classes and homes within lists of bounded length that may link."""
-    by = Window.partitionBy("v")
-    short = _short(base, at).drop("weight").withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo <> hi")
-    long = _mixed(_classed(compound.filter(F.col("c") <= MEDIUM), at))
+
+    def apart(rows: DataFrame, *keys: str) -> DataFrame:
+        by = Window.partitionBy(*keys)  # MEDIUM rows at most
+        return rows.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo <> hi")
+
+    short = apart(_short(base, at), "v")
+    long = apart(_classed(compound.filter(F.col("c") <= MEDIUM), at), "x", "y")
     columns = ["x", "y", "rep", "root", "n", "s1", "s2"]
     m = short.withColumn("x", F.col("v")).withColumn("y", F.col("v")).select(*columns).union(long.select(*columns))
     m = staged(m.join(homes.select("rep", "home"), "rep", "left").withColumn("home", F.coalesce("home", "rep")), "apart")

@@ -68,6 +68,11 @@ def test_article(spark):
     assert got == [(0, "x", 1), (1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
 
 
+def test_characters_whose_lower_case_is_longer():
+    page = "<p>" + "İ" * 40 + "</p><SCRIPT>x</Script><p>one</p><p>two</p>"
+    assert [t for _, t in pages.blocks_of(page)] == ["İ" * 40, "one", "two"]
+
+
 def test_boilerplate_of_pages_without_article(spark):
     frame = "<div>{}</div><div>all rights reserved by the owners of this very site</div>"
     rows = [(i, f"http://h/{i}", frame.format(f"own words of page number {i}")) for i in range(4)] + [(9, "http://other/", frame.format("single"))]
