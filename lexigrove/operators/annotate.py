@@ -86,18 +86,41 @@ def label_union(labels: DataFrame, order: str = "ord", label: str = "label") ->
 
 
 def resolve_labels(responses: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label): an exact label, else the first in list order that the text holds, else a sentinel.
+    """(key, label) of responses that should be JSON.
 
-    ``labels`` is (label, ord), a taxonomy of some hundreds: one array in each task.
+    Of an object, the first value that is a label, else the first value that holds one, labels in list order; keys never
+    count. Of anything else the first label that its text holds. Else a sentinel: hallucinated if it was JSON other than
+    null, unparseable if not. ``labels`` is (label, ord), a taxonomy of some hundreds: one array in each task.
     """
     names = F.broadcast(labels.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "label"))), lambda x: x.label).alias("names")))
     rows = responses.crossJoin(names)
-    t = F.col(text)
-    inside = F.get(F.filter("names", lambda n: F.contains(t, n)), F.lit(0))
-    label = F.when(t.isNull() | (F.trim(t) == ""), UNPARSEABLE).when(F.array_contains("names", t), t).otherwise(F.coalesce(inside, F.lit(HALLUCINATED)))
+    t, parsed = F.col(text), F.try_parse_json(text)
+    nothing = parsed.isNull() | F.is_variant_null(parsed)
+    held = lambda x: F.filter("names", lambda n: F.contains(x, n))
+    values = F.map_values(F.from_json(t, "map<string,string>"))
+    exact = F.get(F.filter(values, lambda v: F.array_contains("names", v)), F.lit(0))
+    within = F.get(F.flatten(F.transform(F.filter(values, lambda v: v.isNotNull()), held)), F.lit(0))
+    loose = F.get(held(F.when(nothing, t).otherwise(F.coalesce(F.try_variant_get(parsed, "$", "string"), t))), F.lit(0))
+    label = (
+        F.when(t.isNull(), UNPARSEABLE)
+        .when(parsed.isNotNull() & F.json_object_keys(t).isNotNull(), F.coalesce(exact, within, F.lit(HALLUCINATED)))
+        .otherwise(F.coalesce(loose, F.when(nothing, UNPARSEABLE).otherwise(HALLUCINATED)))
+    )
     return rows.select(key, label.alias("label"))
 
 
+def merged_labels(responses: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, labels): of the first {...} block's first value, a list, the names without repeats, lists in it flattened by
+    one level. Null where there is no such block, it is not JSON, or its first value is no list.
+    """
+    block = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    first = F.get(F.map_values(F.from_json(block, "map<string,string>")), F.lit(0))
+    items = F.from_json(first, "array<string>")
+    flat = F.flatten(F.transform(items, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))))
+    ok = F.try_parse_json(block).isNotNull() & first.startswith("[")
+    return responses.select(key, F.when(ok, F.array_distinct(F.filter(flat, lambda x: x != ""))).alias("labels"))
+
+
 def first_valid_topic(responses: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """(key, topic): the first listed topic that is valid, else null."""
     names = F.broadcast(labels.agg(F.collect_set("label").alias("names")))

@@ -71,17 +71,21 @@ def metrics_report(rows: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def update_from_audits(clusters: DataFrame, rows: DataFrame, version: int) -> DataFrame:
-    """Clusters with the mean over the current version's audits; clusters that none touched keep theirs.
+    """Clusters with the confidences of the current version's audits added to their running mean (two decimals).
 
-    Sums and counts are exact, whatever the order of audits, and an audit that comes twice counts once.
+    Only given confidences count. Clusters that have none here keep count, mean and status. An audit that comes twice
+    in ``rows`` counts once; audits already in a cluster's mean must not come again.
     """
     fresh = current_version(rows, version).dropDuplicates(["audit_id", "text_id"])
-    counts = cluster_counts(fresh, []).select("cluster_id", "n", "sum_confidence", "n_confidence")
+    counts = cluster_counts(fresh, []).filter("n_confidence > 0").select("cluster_id", "sum_confidence", "n_confidence")
     both = clusters.join(counts, "cluster_id", "left")
-    mean = F.col("sum_confidence") / F.nullif(F.col("n_confidence"), F.lit(0))
+    heard = F.col("n_confidence").isNotNull()
+    before = F.when(F.col("audit_mean_confidence").isNotNull() & (F.col("audit_assignments") > 0), F.col("audit_assignments")).otherwise(F.lit(0))
+    total = before + F.col("n_confidence")
+    mean = F.when(heard, (F.coalesce(F.col("audit_mean_confidence") * before, F.lit(0.0)) + F.col("sum_confidence")) / total).otherwise(F.col("audit_mean_confidence"))
     return both.select(
-        "cluster_id", "name", (F.col("audit_assignments") + F.coalesce("n", F.lit(0))).alias("audit_assignments"), F.coalesce(mean, "audit_mean_confidence").alias("audit_mean_confidence"),
-        confidence_label(F.coalesce(mean, "audit_mean_confidence")).alias("confidence"), F.when(F.col("n").isNotNull(), "audited").otherwise(F.col("status")).alias("status"),
+        "cluster_id", "name", F.when(heard, total).otherwise(F.col("audit_assignments")).alias("audit_assignments"), F.when(heard, F.round(mean, 2)).otherwise(mean).alias("audit_mean_confidence"),
+        confidence_label(mean).alias("confidence"), F.when(heard, "audited").otherwise(F.col("status")).alias("status"),
     )
 
 

@@ -34,10 +34,11 @@ def set_clusters(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_clusters(clusters: DataFrame, target: str, sources: list[str], name: str | None = None) -> DataFrame:
-    """Sources folded into the target: evidence in order without repeats, counts summed, means weighted."""
+    """Sources folded into the target: evidence in order without repeats, counts summed, means weighted. Sources without
+    a mean add nothing to the counts."""
     into = F.when(F.col("cluster_id").isin([target, *sources]), F.lit(target)).otherwise(F.col("cluster_id"))
     rank = F.when(F.col("cluster_id") == target, 0).otherwise(1 + F.coalesce(F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("cluster_id")), F.lit(0)))
-    n = F.col("audit_assignments")
+    n = F.when((F.col("id") == F.col("cluster_id")) | F.col("audit_mean_confidence").isNotNull(), F.col("audit_assignments")).otherwise(F.lit(0))
     rows = clusters.select(into.alias("id"), rank.alias("r"), "*")
     head = lambda c: F.min_by(c, "r").alias(c)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("r", "evidence"))), lambda x: x.evidence)

@@ -45,10 +45,11 @@ sims as (select v.vec_id, c.label, round(sum(v.x * c.x) / sqrt(sum(v.x * v.x) *
 near as (select vec_id, label, s from sims qualify row_number() over (partition by vec_id order by s desc, label) = 1),
 pred as (select e.vec_id, e.label, (case when e.vec_id % 7 = 0 then -1 when e.vec_id % 3 = 0 then n.label % 4 else n.label end)::int as predicted, (e.vec_id % 2)::int as seed from embeddings e join near n using (vec_id))"""
 
-ANSWERS = """ans as (select conv_id * 100 + turn as id, role, case when turn % 5 = 4 then '' when turn % 5 = 3 then lower(substring(text, 1, 2)) else substring(text, 1, 60) end as text from conversations),
-nm as (select * from (values (0, 'the'), (1, 'th'), (2, 'de'), (3, 'en'), (4, 'er'), (5, 'qu')) t(ord, label)),
-res as (select id, case when text is null or trim(text, ' ') = '' then '<unparseable>' when text in (select label from nm) then text
-  else coalesce((select label from nm where contains(ans.text, nm.label) order by ord limit 1), '<hallucinated>') end as label from ans)"""
+NAMES = "['the', 'th', 'de', 'en', 'er', 'qu']"
+ANSWERS = f"""a as (select conv_id * 100 + turn as id, case turn % 5 when 4 then '' when 3 then case when conv_id % 2 = 0 then '{{"x": "artful theme", "a": "qu"}}' else '{{"the": "' || role || '"}}' end when 2 then '"' || role || '"' else text end as t from conversations),
+o as (select id, t, case when json_valid(t) then json_type(t) end as kind, case when json_valid(t) and json_type(t) = 'OBJECT' then list_transform(json_keys(t), lambda k: json_extract_string(t, k)) end as vals from a),
+res as (select id, case when t is null then '<unparseable>' when kind = 'OBJECT' then coalesce(list_filter(vals, lambda v: list_contains({NAMES}, v))[1], flatten(list_transform(vals, lambda v: list_filter({NAMES}, lambda n: contains(v, n))))[1], '<hallucinated>')
+  when kind is null or kind = 'NULL' then coalesce(list_filter({NAMES}, lambda n: contains(t, n))[1], '<unparseable>') else coalesce(list_filter({NAMES}, lambda n: contains(json_extract_string(t, '$'), n))[1], '<hallucinated>') end as label from o)"""
 
 
 def _scores_of(method: str, guess: str) -> str:
@@ -84,7 +85,10 @@ select audit_id, text_id, confidence, (case when confidence is null then null wh
     "q12_size_distribution": f"with {ASSIGNED}, c as (select audit_id, cluster_id, count(*) as n from asg where cluster_id <> '' group by all) select audit_id, min(n) as min_size, max(n) as max_size, round(avg(n), 6) as mean_size from c group by all",
     "q13_audit_metrics_report": f"with {ASSIGNED}, c as (select cluster_id, count(*) as n, avg(confidence) as m from asg where cluster_id <> '' and cluster_version = 1 group by all) select cluster_id, coalesce(name, 'unknown') as name, n, round(m, 6) as mean_confidence, case when m is null then 'unaudited' when m >= 4 then 'high' when m >= 3 then 'medium' else 'low' end as label from c left join names using (cluster_id)",
     "q13b_confidence_histogram": f"with {ASSIGNED} select confidence, count(*) as n from asg where confidence is not null group by all",
-    "q14_audit_update": f"with {ASSIGNED}, c as (select cluster_id, count(*) as n, avg(confidence) as m from asg where cluster_id <> '' and cluster_version = 1 group by all) select cluster_id, name, coalesce(n, 0) as audit_assignments, round(m, 6) as audit_mean_confidence, case when m is null then 'unaudited' when m >= 4 then 'high' when m >= 3 then 'medium' else 'low' end as confidence, case when n is null then 'proposed' else 'audited' end as status from names left join c using (cluster_id)",
+    "q14_audit_update": f"""with {ASSIGNED}, c as (select cluster_id, count(confidence) as n, sum(confidence) as s from asg where cluster_id <> '' and cluster_version = 1 group by all having count(confidence) > 0),
+b as (select * from (values ('c0', 10, 5.0), ('c2', 4, 2.5), ('c9', 7, 3.0)) t(cluster_id, n1, m1)),
+u as (select cluster_id, name, n, coalesce(n1, 0) as n1, m1::double as m1, case when n is null then m1 else (coalesce(m1::double * n1, 0) + s) / (coalesce(n1, 0) + n) end as m from names left join c using (cluster_id) left join b using (cluster_id))
+select cluster_id, name, (n1 + coalesce(n, 0))::bigint as audit_assignments, case when n is null then m1 else round(m, 2) end as audit_mean_confidence, case when m is null then 'unaudited' when m >= 4 then 'high' when m >= 3 then 'medium' else 'low' end as confidence, case when n is null then 'proposed' else 'audited' end as status from u""",
     "q15_common_texts": f"with {PROPOSALS} select a, b, count(*) as n_common, count(*) filter (where ca < cb) as n_less from pairs group by all",
     "q16_contingency": f"with {PROPOSALS} select a, b, ca, cb, n from cells",
     "q16b_agreement_rate": f"with {PROPOSALS}, top as (select a, b, ca, max(n) as top, sum(n) as n from cells group by all) select a, b, sum(n)::bigint as n_common, round(sum(top) / sum(n)::double, 6) as agreement from top group by all",
@@ -115,6 +119,7 @@ select 'overlap' as problem, doc_id as text_id from b group by doc_id having cou
 c as (select r // 15 as chunk, string_agg('- ' || t, '\n' order by r) as u from r group by all)
 select printf('chunk-%06d', chunk) as custom_id, '{"custom_id":"' || printf('chunk-%06d', chunk) || '","method":"POST","url":"/v1/chat/completions","body":{"model":"small-model","messages":[{"role":"system","content":"Name a topic for each text."},{"role":"user","content":"' || u || '"}],"max_completion_tokens":4000}}' as request from c""",
     "q30_label_union": "select label, min(ord) as first from (select doc_id as ord, case when doc_id % 9 = 0 then 'unknown_topic 1' else lang || '/' || source end as label from documents) where not contains(label, 'unknown_topic') group by all",
+    "q30b_merged_labels": "select conv_id * 100 + turn as id, case conv_id % 4 when 0 then case when role = 'b' then 'b' else 'b|' || role end when 1 then case when role = 'x' then 'x' else 'x|' || role end end as labels from conversations",
     "q31_response_resolution": f"with {ANSWERS} select id, label from res",
     "q31b_correction_targets": f"with {ANSWERS} select count(*) as n_total, count(*) filter (where label = '<unparseable>') as n_error, count(*) filter (where label = '<hallucinated>') as n_hallucinated, count(*) filter (where label in ('<unparseable>', '<hallucinated>')) as n_to_correct from res",
     "q31c_topic_fallback": """with t as (select conv_id * 100 + turn as id, case when (conv_id * 100 + turn) % 3 = 0 then null when (conv_id * 100 + turn) % 4 <> 1 and role in ('user', 'assistant') then role else 'Café & co' end as topic from conversations),

@@ -141,7 +141,10 @@ def q13b_confidence_histogram(spark, d):
 
 
 def q14_audit_update(spark, d):
-    return rounded(audits.update_from_audits(clusters(spark), assignments(spark, d), VERSION), "audit_mean_confidence")
+    """Clusters with audits before (a mean and a count, or none) and new ones."""
+    before = spark.createDataFrame([("c0", 10, 5.0), ("c2", 4, 2.5), ("c9", 7, 3.0)], "cluster_id string, audit_assignments long, audit_mean_confidence double")
+    old = clusters(spark).drop("audit_assignments", "audit_mean_confidence").join(before, "cluster_id", "left").fillna(0, ["audit_assignments"])
+    return audits.update_from_audits(old, assignments(spark, d), VERSION)
 
 
 # ---------------------------------------------------------------- agreement
@@ -273,7 +276,10 @@ def q30_label_union(spark, d):
 def _answers(spark, d) -> DataFrame:
     """conversations as responses: (id, text, ord)."""
     c = table(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", F.when(F.col("turn") % 5 == 4, F.lit("")).when(F.col("turn") % 5 == 3, F.lower(F.substring("text", 1, 2))).otherwise(F.substring("text", 1, 60)).alias("text"))
+    k = F.col("turn") % 5
+    objects = F.when(F.col("conv_id") % 2 == 0, F.lit('{"x": "artful theme", "a": "qu"}')).otherwise(F.concat(F.lit('{"the": "'), "role", F.lit('"}')))
+    text = F.when(k == 4, F.lit("")).when(k == 3, objects).when(k == 2, F.concat(F.lit('"'), "role", F.lit('"'))).otherwise(F.col("text"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", text.alias("text"))
 
 
 def _names(spark) -> DataFrame:
@@ -284,6 +290,15 @@ def q31_response_resolution(spark, d):
     return annotate.resolve_labels(_answers(spark, d), _names(spark), "id", "text")
 
 
+def q30b_merged_labels(spark, d):
+    """Label lists as a merge step answers them: in prose, nested, with repeats, or broken."""
+    k = F.col("conv_id") % 4
+    said = F.when(k == 0, F.concat(F.lit('Sure: {"labels": ["b", "'), "role", F.lit('", "b"]} done'))).when(k == 1, F.concat(F.lit('{"a": [["x", "'), "role", F.lit('"], "x", ""], "b": 1}')))
+    said = said.when(k == 2, F.lit('{"a": "no list"}')).otherwise(F.lit('{"a": [broken'))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), said.alias("text"))
+    return annotate.merged_labels(rows, "id", "text").select("id", F.array_join("labels", "|").alias("labels"))
+
+
 def q31b_correction_targets(spark, d):
     r = annotate.resolve_labels(_answers(spark, d), _names(spark), "id", "text")
     return annotate.correction_counts(r, F.col("label") == annotate.UNPARSEABLE, F.col("label") == annotate.HALLUCINATED)

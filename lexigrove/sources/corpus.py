@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import PurePosixPath
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,8 +76,10 @@ def write_dataset(docs: DataFrame, root: str) -> None:
 
 
 def read_proposals(spark: SparkSession, root: str) -> DataFrame:
-    """(proposal, text_id, cluster, ord): one row a membership, in file order."""
-    raw = spark.read.schema(PROPOSAL).option("recursiveFileLookup", "true").json(root, multiLine=True).withColumn("proposal", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    """(proposal, text_id, cluster, ord): one row a membership, in file order. A proposal is named by its path below
+    ``root``, without the extension."""
+    below = F.substring_index(F.col("_metadata.file_path"), f"{quote(root.split('://', 1)[-1].rstrip('/'))}/", -1)
+    raw = spark.read.schema(PROPOSAL).option("recursiveFileLookup", "true").json(root, multiLine=True).withColumn("proposal", F.regexp_replace(below, r"\.json$", ""))
     clusters = raw.select("proposal", F.posexplode("clusters").alias("c", "cluster"))
     return clusters.select("proposal", "c", F.col("cluster.name").alias("cluster"), F.posexplode("cluster.text_ids").alias("t", "text_id")).select("proposal", "text_id", "cluster", (F.col("c") * 1_000_000_000 + F.col("t")).cast("long").alias("ord"))
 

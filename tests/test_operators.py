@@ -169,3 +169,29 @@ def test_single_label_and_blank(spark):
 def test_one_text_has_its_length_as_p95(spark):
     r = corpus.length_stats(spark.createDataFrame([("abcd",)], "text string")).first()
     assert (r.p95_length, r.min_length, r.max_length) == (4, 4, 4)
+
+
+def test_running_mean_keeps_its_history(spark):
+    c = spark.createDataFrame([("c1", "Billing", "", [], 10, 5.0, "audited"), ("c2", "Login", "", [], 3, 2.0, "proposed")], taxonomy.SCHEMA)
+    rows = spark.createDataFrame([("x", 1, "1", "c1", 1.0), ("x", 1, "2", "c1", None), ("x", 1, "3", "c2", None)], "audit_id string, cluster_version int, text_id string, cluster_id string, confidence double")
+    got = {r.cluster_id: (r.audit_assignments, r.audit_mean_confidence, r.confidence, r.status) for r in audits.update_from_audits(c, rows, 1).collect()}
+    assert got == {"c1": (11, 4.64, "high", "audited"), "c2": (3, 2.0, "low", "proposed")}
+
+
+def test_responses_resolve_by_json_values(spark):
+    labels = one(spark, ["art", "sport"]).withColumnRenamed("i", "ord").withColumnRenamed("x", "label")
+    given = {'{"x":"sport","a":"artful"}': "sport", '{"art":"none"}': "<hallucinated>", "not json here": "<unparseable>", "about sport": "sport", '"art"': "art", "null": "<unparseable>", '{"a":"artful"}': "art", "": "<unparseable>", '["sport"]': "sport", "7": "<hallucinated>", None: "<unparseable>", "{}": "<hallucinated>"}
+    got = annotate.resolve_labels(one(spark, list(given)), labels, "i", "x").orderBy("i").collect()
+    assert [r.label for r in got] == list(given.values())
+
+
+def test_merged_labels(spark):
+    given = ['ok {"l": ["a", "b", "a"]} bye', '{"l": [["a", "b"], "c", ""], "m": ["z"]}', "none", '{"l": "a"}', '{"l": [', None]
+    got = annotate.merged_labels(one(spark, given), "i", "x").orderBy("i").collect()
+    assert [r.labels for r in got] == [["a", "b"], ["a", "b", "c"], None, None, None, None]
+
+
+def test_merge_counts_only_sources_with_a_mean(spark):
+    c = spark.createDataFrame([("c1", "A", "", ["1"], 4, 4.0, "audited"), ("c2", "B", "", ["2"], 5, None, "proposed"), ("c3", "C", "", [], 2, 1.0, "audited")], taxonomy.SCHEMA)
+    r = taxonomy.merge_clusters(c, "c1", ["c2", "c3"]).first()
+    assert (r.audit_assignments, r.audit_mean_confidence, r.evidence) == (6, 3.0, ["1", "2"])
