@@ -34,7 +34,7 @@ tf as (select doc_id, term, count(*) as tf from tok where term not in ({STOP}) g
 vocab as (select term, sum(tf) as total, count(*) as df from tf group by all order by total desc, term limit 10000),
 n as (select count(*) as n from corpus),
 w as (select doc_id, term, tf * (ln((1 + n) / (1.0 + df)) + 1) as w, ln((1 + n) / (1.0 + df)) + 1 as idf from tf join vocab using (term), n),
-q as (select term, count(*) as qtf from (select unnest(regexp_extract_all(lower(substring(text, 1, 200)), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from documents where doc_id = 7) group by all),
+q as (select term, count(*) as qtf from (select unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from documents where doc_id = 7) group by all),
 len as (select sqrt(sum((qtf * (ln((1 + n) / (1.0 + df)) + 1)) ** 2)) as l from vocab join q using (term), n),
 dots as (select doc_id, sum(w * coalesce(qtf, 0) * idf) as dot, sqrt(sum(w * w)) as norm from w left join q using (term) group by all)"""
 
@@ -74,7 +74,7 @@ count(*) filter (where label < -1 or label >= 4) as labels_out_of_range, 0::bigi
     "q05_corpus_alignment": "select count(a.doc_id) as n_left, count(b.item_id) as n_right, count(*) filter (where a.doc_id is null or b.item_id is null or a.text is distinct from b.text) as mismatches from documents a full outer join benchmark b on a.doc_id = b.item_id",
     "q06_corpus_length_stats": "select round_even(avg(length(text)), 0)::bigint as avg_length, round_even(median(length(text)), 0)::bigint as median_length, round_even(quantile_cont(length(text), 0.95), 0)::bigint as p95_length, min(length(text))::bigint as min_length, max(length(text))::bigint as max_length from documents",
     "q07_unseen_candidates": "select doc_id, source from documents where doc_id not in (select doc_id from labels)",
-    "q07b_seen_union": "select doc_id from labels union select doc_id from documents where doc_id % 10 = 0",
+    "q07b_seen_union": "select doc_id from labels union select conv_id from conversations",
     "q08_fetch_by_ids": "select r.pos::bigint as pos, r.doc_id::bigint as doc_id, d.text from (values (0, 5), (1, 3), (2, 5), (3, 99999999), (4, 42)) r(pos, doc_id) left join documents d on d.doc_id = r.doc_id",
     "q09_dataset_meta": "select lang, count(*) as n_docs, count(*) filter (where source = 'src3') as n_none, round(avg(length(text)), 6) as mean_text_chars, round(count(*) filter (where source = 'src3') / count(*)::double, 6) as share_none from documents group by all",
     "q10_confidence_normalise": """with r as (select doc_id % 8 as audit_id, doc_id as text_id, (case doc_id % 8 when 0 then 1.0 + (doc_id // 8) % 5 when 1 then (doc_id // 8) % 5 / 4.0 when 2 then 1 when 3 then (doc_id // 8) % 2 when 4 then 0 when 5 then (doc_id // 8) % 3 - 1.0 when 6 then (doc_id // 8) % 15 / 2.0 end)::double as confidence from labels),
@@ -101,7 +101,7 @@ select a, b, side, cluster, round(e, 6) as entropy, n, (row_number() over (parti
     "q22_inconsistent_preview": f"""with {PROPOSALS}, two as (select x.text_id, (x.ca = y.ca) = (x.cb = y.cb) as same from pairs x join pairs y on x.a = y.a and x.b = y.b and x.text_id <> y.text_id), s as (select text_id, avg(same::int) as s from two group by all order by round(s, 10), text_id limit 20)
 select text_id, round(s, 6) as similarity, case when length(text) > 300 then substring(text, 1, 300) || '...' else text end as preview from s join documents on doc_id = text_id""",
     "q24_tfidf_search": f"with corpus as (select doc_id, text from documents), {TERMS} select doc_id, round(dot / (norm * l), 6) as similarity from dots, len where dot > 0 order by round(dot / (norm * l), 10) desc, doc_id limit 20",
-    "q24b_targeted_sample": f"with corpus as (select doc_id, text from documents where doc_id not in (select doc_id from labels) union all select null, substring(text, 1, 200) from documents where doc_id = 7), {TERMS} select doc_id, round(dot / (norm * l), 6) as similarity from dots, len where dot > 0 and doc_id is not null order by round(dot / (norm * l), 10) desc, doc_id limit 15",
+    "q24b_targeted_sample": f"with corpus as (select doc_id, text from documents where doc_id not in (select doc_id from labels) union all select null, text from documents where doc_id = 7), {TERMS} select doc_id, round(dot / (norm * l), 6) as similarity from dots, len where dot > 0 and doc_id is not null order by round(dot / (norm * l), 10) desc, doc_id limit 15",
     "q44_random_sample": "select doc_id, source from documents order by md5('42:' || doc_id::varchar), doc_id limit 25",
     "q45_cluster_sample": f"with {ASSIGNED} select doc_id, lang from documents where doc_id in (select text_id from asg where cluster_version = 1 and cluster_id = 'c2') order by md5('7:' || doc_id::varchar), doc_id limit 10",
     "q25_set_clusters": """with new as (select source as name, min(doc_id) as ord from documents group by all), old as (select * from (values ('src2', 'c4', '7,8'), ('src5', 'c11', '9')) t(k, id, ev)),
@@ -115,7 +115,7 @@ t as (select case when cid in ('c0', 'c1', 'c3') then 'c3' else cid end as clust
 select cluster_id, case when cluster_id = 'c3' then 'merged' else 'name ' || cluster_id end as name, string_agg(ev, ',' order by r) as evidence, sum(n)::bigint as audit_assignments, round(sum(n * m) / sum(n), 6) as audit_mean_confidence, case when count(*) > 1 then 'modified' else 'audited' end as status from t group by cluster_id""",
     "q28_split_check": """with p as (select doc_id from labels where quality = 1 and toxic = 1), b as (select doc_id, unnest(case when doc_id % 6 = 0 then [0, 1] when doc_id % 5 <> 0 then [doc_id % 2] else [] end) as k from labels where toxic = 1)
 select 'overlap' as problem, doc_id as text_id from b group by doc_id having count(distinct k) > 1 union select 'missing', doc_id from p where doc_id not in (select doc_id from b) union select 'extra', doc_id from b where doc_id not in (select doc_id from p)""",
-    "q29_chat_requests": r"""with r as (select doc_id, regexp_replace(substring(text, 1, 40), '[^\p{L}\p{N} ]', ' ', 'g') as t, row_number() over (order by md5('0:' || doc_id::varchar), doc_id) - 1 as r from documents),
+    "q29_chat_requests": r"""with r as (select doc_id, regexp_replace(text, '[^\p{L}\p{N} ]', ' ', 'g') as t, row_number() over (order by md5('0:' || doc_id::varchar), doc_id) - 1 as r from documents),
 c as (select r // 15 as chunk, string_agg('- ' || t, '\n' order by r) as u from r group by all)
 select printf('chunk-%06d', chunk) as custom_id, '{"custom_id":"' || printf('chunk-%06d', chunk) || '","method":"POST","url":"/v1/chat/completions","body":{"model":"small-model","messages":[{"role":"system","content":"Name a topic for each text."},{"role":"user","content":"' || u || '"}],"max_completion_tokens":4000}}' as request from c""",
     "q30_label_union": "select label, min(ord) as first from (select doc_id as ord, case when doc_id % 9 = 0 then 'unknown_topic 1' else lang || '/' || source end as label from documents) where not contains(label, 'unknown_topic') group by all",
@@ -124,14 +124,14 @@ select printf('chunk-%06d', chunk) as custom_id, '{"custom_id":"' || printf('chu
     "q31b_correction_targets": f"with {ANSWERS} select count(*) as n_total, count(*) filter (where label = '<unparseable>') as n_error, count(*) filter (where label = '<hallucinated>') as n_hallucinated, count(*) filter (where label in ('<unparseable>', '<hallucinated>')) as n_to_correct from res",
     "q31c_topic_fallback": """with t as (select conv_id * 100 + turn as id, case when (conv_id * 100 + turn) % 3 = 0 then null when (conv_id * 100 + turn) % 4 <> 1 and role in ('user', 'assistant') then role else 'Café & co' end as topic from conversations),
 f as (select topic from t where topic is not null group by all order by count(*) desc, min(id) limit 1) select id, coalesce(t.topic, f.topic) as topic from t, f""",
-    "q32_triplet_resume": "select vec_id as query_idx, (vec_id * 7 + 1) % 100 as choice1_idx, (vec_id * 3 + 2) % 100 as choice2_idx from embeddings where vec_id % 3 <> 0",
+    "q32_triplet_resume": "select vec_id as query_idx, (vec_id * 7 + 1) % 100 as choice1_idx, (vec_id * 3 + 2) % 100 as choice2_idx from embeddings where vec_id not in (select doc_id from labels)",
     "q32b_triplet_convert": "select vec_id as query_idx, case vec_id % 4 when 0 then (vec_id * 7 + 1) % 100 else (vec_id * 3 + 2) % 100 end as pos_idx, case vec_id % 4 when 0 then (vec_id * 3 + 2) % 100 else (vec_id * 7 + 1) % 100 end as neg_idx from embeddings where vec_id % 4 < 2",
     "q33_output_validation": """with e as (select event_id, event_id % 3 as k, case when event_id % 10 = 0 then null else json_keys(props) end as keys from events)
 select event_id, coalesce(keys is not null and k <> 2 and list_contains(keys, 'k') and (k = 0 or list_contains(keys, 'clusters')), false) as valid,
 case k when 2 then null when 0 then case when list_contains(coalesce(keys, []), 'k') then '' else 'k' end else array_to_string(list_filter(['clusters', 'k'], lambda x: not list_contains(coalesce(keys, []), x)), ',') end as missing from e""",
     "q34_predictions": """with l as (select doc_id, case when doc_id % 10 = 7 then '3' when doc_id % 5 = 0 then 'none' when doc_id % 5 = 1 then '' else (quality * 2 + toxic)::varchar end as c, (1 + doc_id % 5)::double as conf from labels)
 select d.doc_id, d.lang, case when c is null or c in ('', 'none') then -1 else c::int end as predicted_cluster_id, round(conf / 5, 6) as confidence from documents d left join l using (doc_id)""",
-    "q46_match_responses": "select coalesce(a.i, b.i)::varchar as custom_id, case when b.i is null then 'missing' when a.i is null then 'unknown' else 'ok' end as status from (select doc_id as i from labels) a full outer join (select doc_id as i from documents where doc_id % 2 = 0) b on a.i = b.i",
+    "q46_match_responses": "select coalesce(a.i, b.i)::varchar as custom_id, case when b.i is null then 'missing' when a.i is null then 'unknown' else 'ok' end as status from (select doc_id as i from labels) a full outer join (select distinct conv_id as i from conversations) b on a.i = b.i",
     "q35_best_cells": f"with {CENTROIDS}, {_scores_of('nearest', 'predicted')}, {_scores_of('fixed', 'vec_id % 4')}, u as (select 'nearest' as method, 'ari' as metric, ari as v from nearest union all select 'nearest', 'nmi', nmi from nearest union all select 'fixed', 'ari', ari from fixed union all select 'fixed', 'nmi', nmi from fixed) select 'given-k' as panel, method, 'embeddings' as dataset, metric, round(v, 6) as value, round(v, 6) = max(round(v, 6)) over (partition by metric) as best from u",
     "q36_predicted_k": f"with {CENTROIDS} select seed, nullif(count(distinct case when predicted >= 0 then predicted end), 0) as predicted_k from pred group by all",
     "q37_token_cost": """with u as (select role, sum(length(text))::bigint as i, sum(case when turn > 0 then length(text) else 0 end)::bigint as c, sum(length(text) // 3)::bigint as o, count(*) as n from conversations group by all)

@@ -102,7 +102,7 @@ def q07_unseen_candidates(spark, d):
 
 
 def q07b_seen_union(spark, d):
-    return sampling.seen_union(table(spark, d, "labels"), table(spark, d, "documents").filter("doc_id % 10 = 0"))
+    return sampling.seen_union(table(spark, d, "labels"), table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")))
 
 
 def q08_fetch_by_ids(spark, d):
@@ -199,7 +199,7 @@ def q23_diverse_sample(spark, d):
 
 
 def _query(spark, d) -> str:
-    return table(spark, d, "documents").filter("doc_id = 7").select(F.substring("text", 1, 200).alias("q")).first().q
+    return table(spark, d, "documents").filter("doc_id = 7").select(F.col("text").alias("q")).first().q
 
 
 def q24_tfidf_search(spark, d):
@@ -260,12 +260,12 @@ def q28_split_check(spark, d):
 
 
 def q29_chat_requests(spark, d):
-    chunks = annotate.numbered_chunks(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("text")), 15, 0)
+    chunks = annotate.numbered_chunks(table(spark, d, "documents").select("doc_id", "text"), 15, 0)
     return annotate.chat_requests(chunks.withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N} ]", " ")), "small-model", "Name a topic for each text.")
 
 
 def q29b_request_files(spark, d):
-    return annotate.byte_chunks(q29_chat_requests(spark, d), 20, 20_000)
+    return annotate.byte_chunks(q29_chat_requests(spark, d), 50_000, 200_000_000)
 
 
 def q30_label_union(spark, d):
@@ -318,7 +318,7 @@ def _triplets(spark, d) -> DataFrame:
 
 def q32_triplet_resume(spark, d):
     t = _triplets(spark, d)
-    return annotate.pending(t, t.filter("query_idx % 3 = 0"))
+    return annotate.pending(t, t.join(table(spark, d, "labels").select(F.col("doc_id").alias("query_idx")), "query_idx", "left_semi"))
 
 
 def q32b_triplet_convert(spark, d):
@@ -345,7 +345,7 @@ def q34_predictions(spark, d):
 
 def q46_match_responses(spark, d):
     a = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("custom_id"))
-    b = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("custom_id"))
+    b = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("custom_id")).distinct()
     return annotate.match_responses(a, b)
 
 
