@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.functions import topic_names
+from lexigrove.functions import python_strip, topic_names
 
 NOISE = ("unknown_topic", "new_label")
 HALLUCINATED, UNPARSEABLE = "<hallucinated>", "<unparseable>"
@@ -179,3 +179,29 @@ def validate_outputs(files: DataFrame, required: dict[str, list[str]], kind: str
     keys = F.json_object_keys(body)
     missing = F.array_sort(F.array_except(wanted, F.coalesce(keys, F.array().cast("array<string>"))))
     return files.withColumn("missing", F.array_join(missing, ",")).withColumn("valid", keys.isNotNull() & wanted.isNotNull() & (F.size(missing) == 0))
+
+
+def merged_or_given(responses: DataFrame, key: str, text: str, given: str) -> DataFrame:
+    """(key, labels): ``merged_labels``, or the list that was to be merged (column ``given``) where the answer has none."""
+    merged = merged_labels(responses.select(F.struct(key, given).alias("__k"), text), "__k", text)
+    return merged.select(f"__k.{key}", F.coalesce("labels", f"__k.{given}").alias("labels"))
+
+
+def triplet_texts(triplets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Triplets with the texts (idx, text) of their three indices: query, choice1, choice2."""
+    for c in ("query", "choice1", "choice2"):
+        triplets = triplets.join(texts.select(F.col("idx").alias(f"{c}_idx"), F.col("text").alias(c)), f"{c}_idx")
+    return triplets.select("query_idx", "choice1_idx", "choice2_idx", "query", "choice1", "choice2")
+
+
+def cluster_problems(rows: DataFrame, body: str) -> DataFrame:
+    """``rows`` with ``problem``: of a cluster as JSON, whether it is no object or lacks a name or a description that is
+    a non-blank string; null if it is sound."""
+    v = F.try_parse_json(body)
+
+    def lacks(field: str) -> Column:
+        x = F.try_variant_get(v, f"$.{field}", "variant")
+        return ~F.coalesce((F.schema_of_variant(x) == "STRING") & (python_strip(F.try_variant_get(v, f"$.{field}", "string")) != ""), F.lit(False))
+
+    problem = F.when(v.isNull() | F.json_object_keys(body).isNull(), "no object").when(lacks("name"), "name").when(lacks("description"), "description")
+    return rows.withColumn("problem", problem)

@@ -14,11 +14,12 @@ def normalise_confidence(rows: DataFrame, audit: str = "audit_id", confidence: s
     An audit with a value that is no number stays as it is.
     """
     c = F.expr(f"try_cast({confidence} as double)")
-    w = Window.partitionBy(audit)
-    low, high = F.min(c).over(w), F.max(c).over(w)
-    fraction = F.coalesce(F.max(c != F.floor(c)).over(w), F.lit(False))
-    bad = F.max(F.col(confidence).isNotNull() & c.isNull()).over(w)
-    outside = F.max((c < 1) | (c > 5)).over(w)
+    # A row an audit, joined back: an audit of any size never meets in one task.
+    scale = rows.groupBy(F.col(audit).alias("__audit")).agg(
+        F.min(c).alias("__low"), F.max(c).alias("__high"), F.coalesce(F.max(c != F.floor(c)), F.lit(False)).alias("__fraction"),
+        F.max(F.col(confidence).isNotNull() & c.isNull()).alias("__bad"), F.max((c < 1) | (c > 5)).alias("__outside"),
+    )
+    low, high, fraction, bad, outside = (F.col(f"__{x}") for x in ("low", "high", "fraction", "bad", "outside"))
     clamp = lambda x: F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.rint(x)))
     scaled = (
         F.when(c.isNull() | bad, c)
@@ -30,7 +31,8 @@ def normalise_confidence(rows: DataFrame, audit: str = "audit_id", confidence: s
         .when(outside | fraction, clamp(c))
         .otherwise(c)
     )
-    return rows.withColumn("normalised", scaled)
+    both = rows.join(scale, F.col(audit).eqNullSafe(F.col("__audit")))
+    return both.withColumn("normalised", scaled).drop("__audit", "__low", "__high", "__fraction", "__bad", "__outside")
 
 
 def current_version(rows: DataFrame, version: int, column: str = "cluster_version") -> DataFrame:
@@ -70,6 +72,11 @@ def metrics_report(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return named.select("cluster_id", F.coalesce("name", F.lit("unknown")).alias("name"), "n", mean.alias("mean_confidence"), confidence_label(mean).alias("label"))
 
 
+def weak_clusters(report: DataFrame) -> DataFrame:
+    """Rows of a metrics report whose mean confidence is low."""
+    return report.filter(F.col("label") == "low")
+
+
 def update_from_audits(clusters: DataFrame, rows: DataFrame, version: int) -> DataFrame:
     """Clusters with the confidences of the current version's audits added to their running mean (two decimals).
 

@@ -76,3 +76,50 @@ def texts_sha256(df: DataFrame, by: list[str], text: str, order: str) -> DataFra
     """The hash of each group's texts in order, each followed by a NUL. A group is one cached dataset."""
     rows = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[text], F.lit("\0")))
     return df.groupBy(*by).agg(F.sha2(F.array_join(rows, ""), 256).alias("texts_sha256"))
+
+
+def require_valid(counts: DataFrame) -> None:
+    """Raises if a row of ``validate_dataset`` counts any violation."""
+    found = {k: v for k, v in counts.first().asDict().items() if k != "n_docs" and v}
+    if found:
+        raise ValueError(f"dataset is not valid: {found}")
+
+
+def single_label_counts(df: DataFrame, labels: str) -> DataFrame:
+    """One row: kept (rows of exactly one label) and rejected (all others, null lists too)."""
+    one = F.coalesce(F.size(labels) == 1, F.lit(False))
+    return df.agg(F.count_if(one).alias("kept"), F.count_if(~one).alias("rejected"))
+
+
+def first_present(df: DataFrame, names: list[str]) -> str:
+    """The first of ``names`` that is a column."""
+    found = next((n for n in names if n in df.columns), None)
+    if found is None:
+        raise ValueError(f"none of {', '.join(names)} is a column; there are {', '.join(df.columns)}")
+    return found
+
+
+def in_locale(df: DataFrame, locale: str = "en", column: str = "locale") -> DataFrame:
+    return df.filter(F.col(column) == locale)
+
+
+def without_suffix(x: Column, suffix: str = ".txt") -> Column:
+    return F.when(F.endswith(x, F.lit(suffix)), F.substring(x, F.lit(1), F.length(x) - len(suffix))).otherwise(x)
+
+
+def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
+    """Rows of all splits under each other, named in ``source_split``; columns that a split lacks are null there."""
+    parts = [df.withColumn("source_split", F.lit(k)) for k, df in splits.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def label_space(splits: list[DataFrame], name: str) -> DataFrame:
+    """(name, label_id): the distinct names of all splits, numbered in order. Only distinct names meet in one task."""
+    names = splits[0].select(name)
+    for s in splits[1:]:
+        names = names.union(s.select(name))
+    names = names.filter(F.col(name).isNotNull()).distinct()
+    return names.select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("int").alias("label_id"))

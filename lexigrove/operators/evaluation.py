@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.operators.agreement import partition_scores
+
 
 def best_assignment(weight: list[list[float]]) -> list[int]:
     """Row -> column (or -1) of a one-to-one assignment with the largest total weight, for any rectangle.
@@ -65,11 +67,17 @@ def hungarian_accuracy(table: DataFrame, left: str = "ca", right: str = "cb") ->
     return table.sparkSession.createDataFrame([(total, hit / total if total else 0.0)], "n long, acc double")
 
 
-def predictions(docs: DataFrame, rows: DataFrame, order: str = "ord") -> DataFrame:
-    """Documents with cluster (-1 for none, '' or missing) and confidence / 5; of repeated ids the last row counts."""
+def predictions(docs: DataFrame, rows: DataFrame, order: str = "ord", k: int | None = None) -> DataFrame:
+    """Documents with cluster (-1 for none, '' or missing) and confidence / 5; of repeated ids the last row counts.
+
+    Computing it fails on an id that is no number or, given ``k``, not below it.
+    """
     last = rows.groupBy("doc_id").agg(F.max_by(F.struct("cluster", "confidence"), order).alias("r")).select("doc_id", "r.*")
     none = F.coalesce(F.col("cluster"), F.lit("")).isin("", "none")
-    return docs.join(last, "doc_id", "left").withColumn("predicted_cluster_id", F.when(none, F.lit(-1)).otherwise(F.expr("try_cast(cluster as int)"))).withColumn("confidence", F.col("confidence") / 5)
+    number = F.expr("try_cast(cluster as int)")
+    known = number.isNotNull() if k is None else (number >= 0) & (number < k)
+    unknown = F.raise_error(F.concat(F.lit("unknown cluster id: "), F.col("cluster"))).cast("int")
+    return docs.join(last, "doc_id", "left").withColumn("predicted_cluster_id", F.when(none, F.lit(-1)).when(known, number).otherwise(unknown)).withColumn("confidence", F.col("confidence") / 5)
 
 
 def best_cells(rows: DataFrame, metrics: list[str]) -> DataFrame:
@@ -111,3 +119,52 @@ def recent(log: DataFrame, order: list[str], most: int) -> DataFrame:
 
 def run_k_range(k: Column) -> tuple[Column, Column]:
     return F.rint(k * 0.8).cast("int"), F.rint(k * 1.2).cast("int")
+
+
+def metrics_bundle(cells: DataFrame, left: str = "ca", right: str = "cb") -> dict[str, float]:
+    """n, ari, nmi and acc of a contingency (left, right, n)."""
+    scores = partition_scores(cells, [], left, right).first()
+    return {"n": scores["n"], "ari": scores["ari"], "nmi": scores["nmi"], "acc": hungarian_accuracy(cells, left, right).first()["acc"]}
+
+
+def display_label(cluster: Column) -> Column:
+    return F.when(cluster == -1, F.lit("noise")).otherwise(F.concat(F.lit("cluster_"), cluster.cast("string")))
+
+
+def topics_asked(k: int, has_none: bool) -> tuple[int, bool]:
+    """(topics to ask a density method for, whether outliers must be assigned): it counts outliers as one topic."""
+    return k + 1, not has_none
+
+
+def label_ids(rows: DataFrame, labels: DataFrame, sentinels: dict[str, str]) -> DataFrame:
+    """``rows`` (…, label) with cluster_id (``ord`` of the label in ``labels``, else null) and status: ok, missing (no
+    label), the name that ``sentinels`` gives a label, or hallucinated for any other."""
+    known = labels.groupBy("label").agg(F.max("ord").cast("int").alias("cluster_id"))
+    status = F.when(F.col("label").isNull(), F.lit("missing"))
+    for label, name in sentinels.items():
+        status = status.when(F.col("label") == label, F.lit(name))
+    both = rows.join(known, "label", "left")
+    return both.withColumn("status", status.when(F.col("cluster_id").isNull(), F.lit("hallucinated")).otherwise("ok"))
+
+
+def cost_totals(methods: DataFrame, cells: DataFrame) -> DataFrame:
+    """A row a method: subscription and total usd over its cells, null if it has none."""
+    sums = cells.groupBy("method").agg(F.sum(F.coalesce("subscription_usd", F.lit(0.0))).alias("subscription_usd"), F.sum(F.coalesce("usd", F.lit(0.0))).alias("usd"))
+    return methods.select("method").distinct().join(sums, "method", "left")
+
+
+def accumulated_usage(passes: DataFrame, by: str, order: str) -> DataFrame:
+    """A row a run: tokens summed over its passes, n_passes, the passes in order and the share of cached input."""
+    fields = ("input_tokens", "cache_tokens", "output_tokens")
+    out = passes.groupBy(by).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in fields), F.count(F.lit(1)).alias("n_passes"), F.sort_array(F.collect_list(F.struct(order, *fields))).alias("passes")
+    )
+    return out.withColumn("cache_hit_rate", F.coalesce(F.col("cache_tokens") / F.nullif(F.col("cache_tokens") + F.col("input_tokens"), F.lit(0)), F.lit(0.0)))
+
+
+def results_table(cells: DataFrame, datasets: list[str], metrics: list[str]) -> DataFrame:
+    """(panel, method, <dataset>_<metric>…, <dataset>_<metric>_best…) of ``best_cells``; a cell that was not run is null."""
+    names = [f"{d}_{m}" for d in datasets for m in metrics]
+    named = cells.withColumn("cell", F.concat_ws("_", "dataset", "metric"))
+    pick = lambda n, c: F.max(F.when(F.col("cell") == n, F.col(c)))
+    return named.groupBy("panel", "method").agg(*(pick(n, "value").alias(n) for n in names), *(pick(n, "best").alias(f"{n}_best") for n in names))

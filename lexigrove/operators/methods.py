@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import LDA, KMeans, LDAModel
 from pyspark.ml.feature import PCA, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -13,14 +13,25 @@ from lexigrove.operators.tfidf import STOP_WORDS
 from lexigrove.session import with_checkpoint
 
 
-def lda(docs: DataFrame, k: int, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:
-    """(doc_id, topic, confidence): the first largest topic of each text, by online variational Bayes."""
+def _lda(docs: DataFrame, k: int, seed: int, iterations: int, vocabulary: int) -> tuple[DataFrame, list[str], LDAModel]:
     words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
     words = words.select("doc_id", F.filter("w", lambda x: ~x.isin(STOP_WORDS)).alias("words"))
     n = words.count()
     vec = CountVectorizer(inputCol="words", outputCol="v", minDF=2 if n > 2 else 1, maxDF=max(0.95, 1.0 / max(n, 1)), vocabSize=vocabulary).fit(words)
     rows = vec.transform(words)
-    model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="v", optimizer="online").fit(rows)
+    return rows, vec.vocabulary, LDA(k=k, maxIter=iterations, seed=seed, featuresCol="v", optimizer="online").fit(rows)
+
+
+def topic_words(docs: DataFrame, k: int, most: int = 10, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:
+    """(topic, rank, term, weight): the heaviest words of each topic."""
+    _, terms, model = _lda(docs, k, seed, iterations, vocabulary)
+    rows = [(r.topic, i + 1, terms[t], float(w)) for r in model.describeTopics(most).collect() for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights, strict=True))]
+    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+
+
+def lda(docs: DataFrame, k: int, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:
+    """(doc_id, topic, confidence): the first largest topic of each text, by online variational Bayes."""
+    rows, _, model = _lda(docs, k, seed, iterations, vocabulary)
     p = vector_to_array("topicDistribution")
     return model.transform(rows).select("doc_id", (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("topic"), F.array_max(p).alias("confidence"))
 

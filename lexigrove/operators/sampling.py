@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.session import with_checkpoint
+
+FOLD = 16
+
 
 def unseen(corpus: DataFrame, seen: DataFrame) -> DataFrame:
     return corpus.join(seen.select("doc_id"), "doc_id", "left_anti")
@@ -37,20 +44,43 @@ def cluster_sample(corpus: DataFrame, audits: DataFrame, cluster: str, n: int, s
 def diverse_sample(vectors: DataFrame, n: int, start: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Farthest-first traversal from id ``start``: (pick, key, distance to the picks before it). Ties: the smaller id.
 
-    Each pick is one distributed pass; only the picked vectors, ``n`` at most, come to the driver.
+    Each pick is one distributed pass; only the picked vectors, ``n`` at most, come to the driver. Every ``FOLD`` picks
+    the distances so far are written, so neither the plan nor the work of a pass grows with ``n``.
     """
     spark = vectors.sparkSession
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     unit = vectors.select(key, F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("len"))
     first = unit.filter(F.col(key) == start).limit(1).collect()
-    picks = [(first[0][key], 0.0, list(first[0]["v"]), first[0]["len"])] if first else []
-    while picks and len(picks) < n:
-        far = [1 - dot(F.col("v"), F.array(*(F.lit(float(x)) for x in v))) / F.nullif(F.col("len") * F.lit(length), F.lit(0.0)) for _, _, v, length in picks]
-        least = F.least(*far) if len(far) > 1 else far[0]
-        rest = unit.filter(~F.col(key).isin([p[0] for p in picks])).withColumn("d", F.coalesce(least, F.lit(1.0)))
-        best = rest.orderBy(F.round("d", 10).desc(), key).limit(1).collect()
+    picks, fresh, held = [], [], unit.withColumn("d", F.lit(None).cast("double"))
+    if first:
+        picks, fresh = [(first[0][key], 0.0)], [first[0]]
+    while fresh and len(picks) < n:
+        far = [1 - dot(F.col("v"), F.array(*(F.lit(float(x)) for x in p["v"]))) / F.nullif(F.col("len") * F.lit(p["len"]), F.lit(0.0)) for p in fresh]
+        rest = held.filter(~F.col(key).isin([p[key] for p in fresh])).withColumn("d", F.least("d", *far))
+        if len(fresh) == FOLD:
+            held, fresh = with_checkpoint(rest), []
+            rest = held
+        best = rest.withColumn("d", F.coalesce("d", F.lit(1.0))).orderBy(F.round("d", 10).desc(), key).limit(1).collect()
         if not best:
             break
-        picks.append((best[0][key], best[0]["d"], list(best[0]["v"]), best[0]["len"]))
+        picks.append((best[0][key], best[0]["d"]))
+        fresh.append(best[0])
     kind = vectors.schema[key].dataType.simpleString()
     return spark.createDataFrame([(k, p[0], float(p[1])) for k, p in enumerate(picks)], f"pick long, {key} {kind}, distance double")
+
+
+def capped(n: int, most: int) -> int:
+    """``n`` or the configured cap on a sample; a notice goes to the log."""
+    if n > most:
+        logging.getLogger(__name__).warning("sample of %d cut to the cap of %d", n, most)
+    return min(n, most)
+
+
+def sample_entry(spark: SparkSession, strategy: str, n: int, seed: int | None = None) -> DataFrame:
+    """The log row of a sample: (strategy, n, seed); a seed is drawn if none is given."""
+    drawn = secrets.randbelow(1 << 31) if seed is None else seed
+    return spark.createDataFrame([(strategy, n, drawn)], "strategy string, n long, seed long")
+
+
+def first_rows(rows: DataFrame, order: str, most: int) -> DataFrame:
+    return rows.orderBy(order).limit(most)

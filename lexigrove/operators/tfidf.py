@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions import tokens
@@ -44,6 +46,46 @@ class TfidfIndex:
         return found.orderBy(F.round("similarity", 10).desc(), "doc_id").limit(n)
 
 
+class StoredIndex:
+    """A TF-IDF index as tables: weights in order of term, a norm a text, and the vocabulary.
+
+    ``write`` tokenises the corpus once. ``search`` reads the files whose terms the query has, by the statistics of
+    sorted files, and joins norms only to texts that hold one of them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.vocab, self.weights, self.norms = (spark.read.parquet(f"{root}/{x}") for x in ("vocabulary", "weights", "norms"))
+
+    @classmethod
+    def write(cls, docs: DataFrame, root: str, max_features: int = MAX_FEATURES) -> StoredIndex:
+        spark = docs.sparkSession
+        index = TfidfIndex(docs, max_features)
+        idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+        index.tf.write.mode("overwrite").parquet(f"{root}/counts")
+        index.tf = spark.read.parquet(f"{root}/counts")
+        vocab = index.tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "term").limit(max_features)
+        vocab.crossJoin(F.broadcast(index.docs)).select("term", idf.alias("idf")).write.mode("overwrite").parquet(f"{root}/vocabulary")
+        held = F.broadcast(spark.read.parquet(f"{root}/vocabulary"))
+        weights = index.tf.join(held, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("weight"))
+        # Texts too: a frequent term spans several ranges.
+        weights.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/weights")
+        norms = spark.read.parquet(f"{root}/weights").groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        norms.write.mode("overwrite").parquet(f"{root}/norms")
+        return cls(spark, root)
+
+    def search(self, query: str, n: int) -> DataFrame:
+        """(doc_id, similarity) as ``TfidfIndex.search`` gives it."""
+        spark = self.vocab.sparkSession
+        asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
+        terms = self.vocab.join(F.broadcast(asked), "term").select("term", (F.col("qtf") * F.col("idf")).alias("q")).collect()  # of one query
+        length = math.sqrt(sum(r.q * r.q for r in terms)) or 1.0
+        held = F.broadcast(spark.createDataFrame([(r.term, r.q / length) for r in terms], "term string, q double"))
+        hits = self.weights.filter(F.col("term").isin([r.term for r in terms])).join(held, "term")
+        dots = hits.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).filter("dot > 0")
+        found = dots.join(self.norms, "doc_id").select("doc_id", (F.col("dot") / F.col("norm")).alias("similarity"))
+        return found.orderBy(F.round("similarity", 10).desc(), "doc_id").limit(n)
+
+
 def targeted_sample(candidates: DataFrame, query: str, n: int) -> DataFrame:
     """Search over an index that holds the query as one more text, as sampling by a query does."""
     spark = candidates.sparkSession

@@ -143,4 +143,18 @@ tot as (select term, sum(tf) as t from tf group by all), sz as (select lang, sum
 s as (select lang, term, tf / w * ln(1 + m / t) as s from tf join tot using (term) join sz using (lang), m)
 select lang, term, round(s, 6) as score, (row_number() over (partition by lang order by round(s, 10) desc, term))::int as rank from s qualify rank <= 10""",
     "q43_nearest_centroid": f"with {CENTROIDS} select vec_id, label, round(s, 6) as similarity from near",
+    "q24c_stored_search": f"with corpus as (select doc_id, text from documents), {TERMS} select doc_id, round(dot / (norm * l), 6) as similarity from dots, len where dot > 0 order by round(dot / (norm * l), 10) desc, doc_id limit 20",
+    "q50_label_space": "select name, (row_number() over (order by name) - 1)::int as label_id from (select lang as name from documents union select source from documents union select role from conversations) where name is not null",
+    "q51_concatenated_splits": "select doc_id::varchar as id, text, lang, 'train' as source_split from documents union all select item_id::varchar, text, null, 'test' from benchmark",
+    "q52_single_label_counts": "select count(*) filter (where k = 1) as kept, count(*) filter (where k <> 1) as rejected from (select conv_id, count(distinct role) as k from conversations group by all)",
+    "q53_triplet_texts": "with t as (select vec_id as query_idx, (vec_id * 7 + 1) % 100 as choice1_idx, (vec_id * 3 + 2) % 100 as choice2_idx from embeddings) select t.*, q.text as query, a.text as choice1, b.text as choice2 from t join documents q on q.doc_id = query_idx join documents a on a.doc_id = choice1_idx join documents b on b.doc_id = choice2_idx",
+    "q54_label_ids": f"with {ANSWERS} select id, case when list_contains({NAMES}, label) then (list_position({NAMES}, label) - 1)::int else -1 end as cluster_id, case label when '<unparseable>' then 'unparseable' when '<hallucinated>' then 'hallucinated' else 'ok' end as status from res",
+    "q55_results_table": f"with {CENTROIDS}, {_scores_of('nearest', 'predicted')}, {_scores_of('fixed', 'vec_id % 4')}, u as (select 'nearest' as method, round(ari, 6) as a, round(nmi, 6) as n from nearest union all select 'fixed', round(ari, 6), round(nmi, 6) from fixed) select 'given-k' as panel, method, a as embeddings_ari, n as embeddings_nmi, a = max(a) over () as embeddings_ari_best, n = max(n) over () as embeddings_nmi_best from u",
+    "q56_cost_totals": "select source as method, sum(case when lang = 'en' then n_chars / 16.0 else 0 end)::double as subscription_usd, sum(n_chars / 8.0)::double as usd from documents group by all union all select 'none run', null, null",
+    "q57_accumulated_usage": "select conv_id, sum(length(text))::bigint as input_tokens, sum(case when turn > 0 then length(text) else 0 end)::bigint as cache_tokens, sum(length(text) // 3)::bigint as output_tokens, count(*) as n_passes, string_agg(length(text)::varchar, ',' order by turn, length(text)) as passes, round(coalesce(sum(case when turn > 0 then length(text) else 0 end) / nullif(sum(case when turn > 0 then 2 * length(text) else length(text) end), 0)::double, 0), 6) as cache_hit_rate from conversations group by all",
+    "q58_display_labels": f"with {CENTROIDS} select vec_id, case when predicted = -1 then 'noise' else 'cluster_' || predicted::varchar end as display from pred",
+    "q59_weak_clusters": f"with {ASSIGNED}, c as (select cluster_id, count(*) as n, avg(case when cluster_id = 'c2' then 2.0 else confidence end) as m from asg where cluster_id <> '' group by all) select cluster_id, coalesce(name, 'unknown') as name, n, round(m, 6) as mean_confidence, 'low' as label from c left join names using (cluster_id) where m < 3",
+    "q60_cluster_problems": "select doc_id, case doc_id % 5 when 0 then 'no object' when 2 then 'name' when 3 then 'description' when 4 then 'no object' end as problem from documents",
+    "q61_first_rows": "select doc_id, source from documents order by doc_id limit 20",
+    "q62_merged_or_given": "select conv_id * 100 + turn as id, case when conv_id % 2 = 0 then case when role = 'm' then 'm' else 'm|' || role end else 'a|' || role end as labels from conversations",
 }

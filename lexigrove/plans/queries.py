@@ -6,6 +6,7 @@ prediction its nearest centroid. All derivations are arithmetic that SQL shares.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import agreement_label, doc_id_format, preview, token_cap
 from lexigrove.operators import agreement, annotate, audits, corpus, evaluation, methods, sampling, taxonomy, tfidf
+from lexigrove.session import shared_folder
 
 PROPOSALS = (("p1", "lang", 0), ("p2", "source", 1), ("p3", "concat('b', cast(n_chars div 1000 as string))", 2))
 PRICES = (0.125, 0.0125, 1.0)
@@ -406,4 +408,82 @@ def q48_entropy_triplets(spark, d):
     return rounded(methods.entropy_triplets(v, evaluation.centroids(v, "label"), most=100), "entropy")
 
 
+# ---------------------------------------------------------------- corpora, tables and checks
+
+
+def q24c_stored_search(spark, d):
+    root = f"{shared_folder(spark)}/lexigrove/tfidf-{uuid.uuid4().hex}"
+    return rounded(tfidf.StoredIndex.write(table(spark, d, "documents").select("doc_id", "text"), root).search(_query(spark, d), 20), "similarity")
+
+
+def q50_label_space(spark, d):
+    docs = table(spark, d, "documents")
+    return corpus.label_space([docs.select(F.col("lang").alias("name")), docs.select(F.col("source").alias("name")), table(spark, d, "conversations").select(F.col("role").alias("name"))], "name")
+
+
+def q51_concatenated_splits(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    return corpus.concatenated({"train": docs, "test": table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")})
+
+
+def q52_single_label_counts(spark, d):
+    roles = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("labels"))
+    return corpus.single_label_counts(roles, "labels")
+
+
+def q53_triplet_texts(spark, d):
+    return annotate.triplet_texts(_triplets(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text"))
+
+
+def q54_label_ids(spark, d):
+    rows = annotate.resolve_labels(_answers(spark, d), _names(spark), "id", "text")
+    return evaluation.label_ids(rows, _names(spark), {annotate.UNPARSEABLE: "unparseable", annotate.HALLUCINATED: "hallucinated"}).select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), "status")
+
+
+def q55_results_table(spark, d):
+    return evaluation.results_table(q35_best_cells(spark, d), ["embeddings"], ["ari", "nmi"])
+
+
+def q56_cost_totals(spark, d):
+    cells = table(spark, d, "documents").select(F.col("source").alias("method"), (F.col("n_chars") / 8).alias("usd"), F.when(F.col("lang") == "en", F.col("n_chars") / 16).alias("subscription_usd"))
+    return evaluation.cost_totals(cells.select("method").union(spark.createDataFrame([("none run",)], "method string")), cells)
+
+
+def q57_accumulated_usage(spark, d):
+    n = F.length("text").cast("long")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", n.alias("input_tokens"), F.when(F.col("turn") > 0, n).otherwise(F.lit(0)).alias("cache_tokens"), F.floor(n / 3).alias("output_tokens"))
+    out = evaluation.accumulated_usage(rows, "conv_id", "turn").withColumn("passes", F.array_join(F.transform("passes", lambda p: p.input_tokens.cast("string")), ","))
+    return rounded(out, "cache_hit_rate")
+
+
+def q58_display_labels(spark, d):
+    return predicted(spark, d).select("vec_id", evaluation.display_label(F.col("predicted")).alias("display"))
+
+
+def q59_weak_clusters(spark, d):
+    rows = assignments(spark, d).withColumn("confidence", F.when(F.col("cluster_id") == "c2", F.lit(2.0)).otherwise(F.col("confidence")))
+    return rounded(audits.weak_clusters(audits.metrics_report(rows, clusters(spark))), "mean_confidence")
+
+
+def q60_cluster_problems(spark, d):
+    k = F.col("doc_id") % 5
+    body = F.when(k == 0, F.lit("[1]")).when(k == 1, F.concat(F.lit('{"name": "'), "lang", F.lit('", "description": "d"}'))).when(k == 2, F.lit('{"name": "  ", "description": "d"}')).when(k == 3, F.lit('{"name": "n", "description": 3}')).otherwise(F.lit("{broken"))
+    return annotate.cluster_problems(table(spark, d, "documents").select("doc_id", body.alias("body")), "body").select("doc_id", "problem")
+
+
+def q61_first_rows(spark, d):
+    return sampling.first_rows(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 20)
+
+
+def q62_merged_or_given(spark, d):
+    """Answers of which every second is a list; the rest keep the list that was to be merged."""
+    said = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"l": ["m", "'), "role", F.lit('"]}'))).otherwise(F.lit("sorry"))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), said.alias("text"), F.array(F.lit("a"), F.col("role")).alias("given"))
+    return annotate.merged_or_given(rows, "id", "text", "given").select("id", F.array_join("labels", "|").alias("labels"))
+
+
+def q63_topic_words(spark, d):
+    return rounded(methods.topic_words(table(spark, d, "documents").select("doc_id", "text"), 5), "weight")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

@@ -24,9 +24,20 @@ def get_session(app: str = "lexigrove", master: str | None = None, shuffle_parti
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, local mode takes a folder of its own, a cluster an error."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='lexigrove_')}")
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get().rstrip("/")
+
+
 def with_checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder of spark.checkpoint.dir; where none is set, a folder of this driver's."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexigrove_')}")
+    """``df`` with its lineage cut in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
