@@ -143,7 +143,8 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
     # Staged at once: a task that ran twice wrote two archives, and the index names those of the run that counted.
     index = staged(arrow_map(rows.select("page_id", "url", "html", "refer"), run, "key string, page_id long, file string, offset long, length long"), "captures")
     directory = arrow_map(index.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset"), _blocks(root), "first string, file string, offset long, length long, n long")
-    directory.coalesce(1).sortWithinPartitions("first", "file", "offset").write.parquet(f"{root}/directory")
+    # In parts, as the blocks are made in these tasks; readers sort it.
+    directory.write.parquet(f"{root}/directory")
     return root
 
 
