@@ -27,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a folder that this sets."""
+    """The folder of spark.checkpoint.dir. Where it is unset, local mode takes a folder of its own, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc()
         found = jsc.getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             root = f"file://{tempfile.mkdtemp(prefix='lexigrove_')}"
             spark.sparkContext.setCheckpointDir(root)
