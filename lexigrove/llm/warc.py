@@ -9,9 +9,10 @@ by one, and a sparse directory holds each block's first key, file, offset and le
 Reading: ``lookup`` binary-searches the directory, reads that block's byte range, then the record's. ``read_all`` goes
 through every block and reads each archive's records in offset order.
 
-A null or empty html is a payload of 0 bytes, equal to every other such. Null page_ids are never a response that others
-name unless all equal payloads have none; rows that repeat a page_id are records of their own. An empty table writes no
-archive. Very long pages are one record. Only page_id, url and html are read.
+A null or empty html is a payload of 0 bytes, equal to every other such. Rows that repeat a page_id are records of their
+own: of several with the largest page_id one is the response, the others revisit it too. A null page_id is less than any
+other; if equal payloads have no other, one of them is the response and the others are revisits that name none. Page ids
+are integers. An empty table writes no archive. Very long pages are one record. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -57,16 +58,17 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record as a gzip member. A revisit has no payload and names the response's page."""
-    kind = "response" if refers_to is None else "revisit"
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool | None = None) -> bytes:
+    """One WARC record as a gzip member. A revisit has no payload and names the response's page, if that has an id."""
+    kind = "revisit" if revisit or refers_to is not None else "response"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {refers_to}"] if refers_to is not None else []
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return gzip.compress("\r\n".join(head).encode() + body + b"\r\n\r\n", LEVEL, mtime=0)
 
@@ -93,10 +95,12 @@ def parse(member: bytes) -> dict:
     }
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [digest_of((x.as_py() or "").encode()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["page_id", "digest"])
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            found = [digest_of((x.as_py() or "").encode()) for x in part.column(2)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=["page_id", "url", "html", "digest"])
 
 
 def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> str:
@@ -104,13 +108,15 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
     spark = pages.sparkSession
     root = root or scratch_path(spark, "warc")
     chosen = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
-    # Digests first: a count and a maximum a digest, whatever the number of copies.
-    digests = arrow_map(chosen.filter(F.coalesce(F.octet_length("html"), F.lit(0)) >= least_bytes).select("page_id", "html"), _digests, "page_id long, digest string")
-    twice = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top")).filter("n > 1").select("digest", "top")
-    # Only digests with copies come back to the pages, as the response that each copied page refers to.
-    firsts = digests.join(twice, "digest").filter("page_id is not null and page_id <> top").select("page_id", "digest", "top").distinct()
-    firsts = firsts.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "top"))).alias("refer"))
-    rows = chosen.join(firsts, "page_id", "left")
+    # Staged with a number a row, so that rows alike in every column stay apart and each payload is digested once.
+    made = arrow_map(chosen, _digested, "page_id long, url string, html string, digest string")
+    made = staged(made.withColumn("row", F.monotonically_increasing_id()), "payloads")
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    digests = made.filter(size >= least_bytes).select("page_id", "row", "digest")
+    # A count and a maximum a digest, whatever the number of copies. A null page_id is the least.
+    twice = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "row")).alias("top")).filter("n > 1").select("digest", "top")
+    refers = digests.join(twice, "digest").filter("row <> top.row").select("row", F.col("top.page_id").alias("refer"), F.lit(True).alias("revisit"))
+    rows = made.join(refers, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(root)
@@ -120,13 +126,12 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
                     part = batch.slice(lo, 64)
-                    for pid, link, text, refer in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for pid, link, text, digest, refer, revisit in zip(*(c.to_pylist() for c in part.columns), strict=True):
                         if out is None:
                             fs.create_dir(f"{top}/archives", recursive=True)
                             out = fs.open_output_stream(f"{top}/archives/.{name}", compression=None)
                         payload = (text or "").encode()
-                        digest = digest_of(payload)
-                        member = record(pid, link, payload, digest, dict(refer or ()).get(digest) if len(payload) >= least_bytes else None)
+                        member = record(pid, link, payload, digest, refer, revisit)
                         out.write(member)
                         seen.append((surt(link), pid, name, at, len(member)))
                         at += len(member)
@@ -141,7 +146,7 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(some, types, strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
     # Staged at once: a task that ran twice wrote two archives, and the index names those of the run that counted.
-    index = staged(arrow_map(rows.select("page_id", "url", "html", "refer"), run, "key string, page_id long, file string, offset long, length long"), "captures")
+    index = staged(arrow_map(rows.select("page_id", "url", "html", "digest", "refer", "revisit"), run, "key string, page_id long, file string, offset long, length long"), "captures")
     directory = arrow_map(index.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset"), _blocks(root), "first string, file string, offset long, length long, n long")
     # In parts, as the blocks are made in these tasks; readers sort it.
     directory.write.parquet(f"{root}/directory")

@@ -42,6 +42,21 @@ def test_warc_round_trip(spark, monkeypatch, least):
     assert archive.lookup("http://nowhere/") == []
 
 
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc_repeated_and_null_ids(spark, least):
+    rows = [(1, "same")] * 3 + [(None, "same"), (0, "same"), (None, "no ids")] + [(None, "no ids")] * 2 + [(7, "x"), (7, "y"), (7, "yyyyy"), (7, "yyyyy"), (8, "y")]
+    df = spark.createDataFrame([(i, "http://h/", h, "clash") for i, h in rows], "page_id long, url string, html string, digest string").repartition(4)
+    got = warc.read_all(spark, warc.write(df, least_bytes=least)).collect()
+    want = []
+    for h in {h for _, h in rows}:
+        ids = sorted((i for i, x in rows if x == h), key=lambda i: -1 if i is None else i)
+        if len(h) < least:
+            want += [(i, len(h), "response", None) for i in ids]
+        else:
+            want += [(ids[-1], len(h), "response", None)] + [(i, len(h), "revisit", ids[-1]) for i in ids[:-1]]
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in got)
+
+
 def test_warc_of_nothing(spark):
     root = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_all(spark, root).count() == 0
