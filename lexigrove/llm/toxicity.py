@@ -9,8 +9,8 @@ Fitting uses at most ``FIT_ROWS`` labelled rows, those least by a hash of the id
 word-pair hash (copies) count once; only hashed features reach the driver. Everything else covers all rows.
 
 Null and empty texts fire no voter and score the classifier's base rate. Without labelled rows of both kinds every
-score is 0. Repeated rows are scored alike; a repeated label counts once; null labels and ids are not learnt from.
-Only id and text are read; an empty table gives an empty result.
+score is 0. Repeated rows are scored alike; a repeated label counts once, of conflicting ones the larger; null labels
+and ids are not learnt from. Only id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ FIT_ROWS = 20_000
 VOTERS = 400
 #: Of a text in the sample, at most so many bytes of features' hashes travel: 8 a feature.
 BEGINNINGS = (4, 5, 6, 7)
-LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 4, 2.5, 16.0
+LEAST_TEXTS, LEAST_ODDS = 4, 2.5
+#: So many of the candidates may pass the bound of evidence by chance alone.
+BY_CHANCE = 1.0
 EM_STEPS, FIT_STEPS = 20, 300
 #: The row's own label is one more voter, of this accuracy.
 LABEL_RIGHT = 0.98
@@ -82,7 +84,7 @@ class Model:
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> list:
     """(toxic, least word-pair hash, distinct feature hashes) of the fitting rows."""
     rows = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y is not null")
-    rows = rows.filter(~held_out(F.col("id"))).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    rows = rows.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                 others[at[names[at] == s]] += 1
     odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((others + 0.5) / ((1 - y).sum() + 1))
-    # Evidence against chance, with some millions of candidates: half the G statistic, as natural logarithms.
+    # Evidence against chance: half the G statistic, as natural logarithms. The more candidates, the higher the bound.
     both, share = ones + others, y.mean()
     g = ones * np.log(ones / (both * share)) + others * np.log(np.maximum(others, 1e-9) / (both * (1 - share)))
-    best = np.flatnonzero((odds >= LEAST_ODDS) & (g >= LEAST_EVIDENCE))
+    best = np.flatnonzero((odds >= LEAST_ODDS) & (g >= np.log(max(1, len(names)) / BY_CHANCE)))
     best = best[np.lexsort((names[best], -g[best]))][:VOTERS]
     if not len(best):
         return none

@@ -179,6 +179,17 @@ def test_toxicity(spark, no_docs):
     assert {r.score for r in bare.collect()} == {0.0}
 
 
+def test_toxicity_of_few_rows_and_conflicting_labels(spark):
+    rows = [(i, f"plain words number {i} of {'a grumbolt' if i % 10 == 0 else 'some'} text {i * 31}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 10 == 0)) for i, _ in rows]
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, (10, 0), (20, 0)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, y in labels)
+    back = toxicity.fit(docs, spark.createDataFrame([(10, 0), (20, 0), *labels], "doc_id long, toxic int").repartition(3))
+    assert (model.voters == back.voters).all() and np.allclose(model.weights, back.weights)
+
+
 def test_query_shards_token_ids(spark, sf_dir, monkeypatch):
     import public_tokenizers
 
