@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import arrow_map, scratch_path, staged
+from lexigrove.llm.common import arrow_map, drop_path, scratch_path, staged
 
 BLOCK_ROWS = 3000
 LEVEL = 4
@@ -110,7 +110,10 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
     chosen = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     # Staged with a number a row, so that rows alike in every column stay apart and each payload is digested once.
     made = arrow_map(chosen, _digested, "page_id long, url string, html string, digest string")
-    made = staged(made.withColumn("row", F.monotonically_increasing_id()), "payloads")
+    payloads = scratch_path(spark, "payloads")
+    numbered = made.withColumn("row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(payloads)
+    made = spark.read.schema(numbered.schema).parquet(payloads)
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     digests = made.filter(size >= least_bytes).select("page_id", "row", "digest")
     # A count and a maximum a digest, whatever the number of copies. A null page_id is the least.
@@ -147,6 +150,7 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = 0, page_
 
     # Staged at once: a task that ran twice wrote two archives, and the index names those of the run that counted.
     index = staged(arrow_map(rows.select("page_id", "url", "html", "digest", "refer", "revisit"), run, "key string, page_id long, file string, offset long, length long"), "captures")
+    drop_path(spark, payloads)  # the archives are whole and nothing below reads it
     directory = arrow_map(index.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset"), _blocks(root), "first string, file string, offset long, length long, n long")
     # In parts, as the blocks are made in these tasks; readers sort it.
     directory.write.parquet(f"{root}/directory")
