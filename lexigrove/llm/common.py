@@ -207,3 +207,27 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()
 
+
+
+# ---------------------------------------------------------------- tables that are joined again and again
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table of ``buckets`` buckets of ``key`` in the shared folder, and what drops it again.
+
+    Joins of such tables on ``key`` need no shuffle. ``df`` should be dealt by ``repartition(buckets, key)`` or come from
+    a join of such tables, else each task writes to many buckets.
+    """
+    spark = df.sparkSession
+    path, table_name = scratch_path(spark, name), f"lexigrove_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).format("parquet").saveAsTable(table_name)
+
+    def drop() -> None:
+        spark.sql(f"drop table if exists {table_name}")
+        drop_path(spark, path)
+
+    return spark.table(table_name), drop
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
