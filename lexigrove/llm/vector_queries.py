@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import codes
+from lexigrove.llm import codes, negatives, postings
 from lexigrove.llm.common import table
 
 
@@ -36,5 +36,26 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int =
             (select sha256(string_agg(x::varchar, ',' order by part, e, j)) from b{rounds}) as codebooks_sha256 from r"""
 
 
-QUERIES = {"op11_vector_codes": op11_vector_codes}
-ORACLE_SQL = {"op11_vector_codes": _codes_sql()}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are moved on by one."""
+    i = F.col("vec_id")
+    label = F.when(i % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+_NEGATIVES_SQL = """with k as materialized (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(c::double * 256) for c in embedding] as v
+        from embeddings where vec_id is not null and label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding) and list_bool_and([isfinite(c) for c in embedding])),
+    s as materialized (select a.rid, a.vec_id as anchor_id, a.label = k.label as same, k.rid as other, k.vec_id as id, list_dot_product(a.v, k.v)::bigint as score
+        from k a join k on a.rid <> k.rid where a.vec_id % 100 = 0),
+    p as (select * from s where same qualify row_number() over (partition by rid order by score desc, id) <= 5)
+    select p.anchor_id, p.id as positive_id, (row_number() over (partition by p.rid, p.other order by s.score desc, s.id))::int as rank, s.id as negative_id, p.score as positive_score, s.score as negative_score
+    from p join s on p.rid = s.rid and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score qualify rank <= 10"""
+
+
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth one."""
+    return postings.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+QUERIES = {"op11_vector_codes": op11_vector_codes, "op12_hard_negatives": op12_hard_negatives, "op13_posting_lists": op13_posting_lists}
+ORACLE_SQL = {"op11_vector_codes": _codes_sql(), "op12_hard_negatives": _NEGATIVES_SQL}
