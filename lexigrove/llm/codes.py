@@ -120,13 +120,11 @@ def compress(
         state, drop_state = new, drop_new
         if k == rounds:
             break
-        each = state.filter("delta is not null").select(F.explode("delta").alias("d"))
-        flat = each.select("d.part", "d.entry", F.posexplode(F.concat(F.array("d.n"), "d.sums")).alias("j", "s"))
-        for r in flat.groupBy("part", "entry", "j").agg(F.sum("s").alias("s")).collect():  # parts x entries x (1 + width) rows
-            if r.j:
-                sums[r.part, r.entry, r.j - 1] += r.s
-            else:
-                counts[r.part, r.entry] += r.s
+        each = state.filter("delta is not null").select(F.explode("delta").alias("d")).select("d.*")
+        total = [F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(width)]
+        for r in each.groupBy("part", "entry").agg(F.sum("n").alias("n"), *total).collect():  # at most parts x entries rows
+            counts[r.part, r.entry] += r.n
+            sums[r.part, r.entry] += [r[f"s{j}"] for j in range(width)]
         used = counts > 0
         books = np.where(used[..., None], sums // np.maximum(counts, 1)[..., None], books)
     found = held.select("rid", "row") if state is None else held.select("rid", "row").join(state.select("rid", "code", "error").hint("shuffle_hash"), "rid")
