@@ -156,7 +156,7 @@ def _scorer(dim: int, k: int):
 
 
 def search(
-    vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", ratio: float = 0.2, replica_ratio: float = 0.02, replicas: int = 8, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS
+    vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", ratio: float = 0.15, replica_ratio: float = 0.02, replicas: int = 8, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS
 ) -> DataFrame:
     """(query_id, rank, key, score): the ``k`` nearest rows found of each row that fulfils ``queries``, itself left out.
 
