@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.functions import python_strip, topic_names
+from lexigrove.operators.ordered import filled
 
 NOISE = ("unknown_topic", "new_label")
 HALLUCINATED, UNPARSEABLE = "<hallucinated>", "<unparseable>"
@@ -37,27 +38,9 @@ def chat_requests(chunks: DataFrame, model: str, system: str, json_mode: bool =
 
 
 def byte_chunks(requests: DataFrame, most_rows: int, most_bytes: int, group: str = "custom_id", text: str = "request") -> DataFrame:
-    """``file`` number by greedy filling up to rows and bytes, in order of the id.
-
-    Filling starts anew after each full file, so it is one ordered pass; only ids and sizes go through it.
-    """
-    sizes = requests.select(F.col(group), F.octet_length(text).cast("long").alias("size"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, rows, held = 0, 0, 0
-        for b in batches:
-            out = []
-            for size in b["size"]:
-                if size + 1 > most_bytes:
-                    raise ValueError("one request is larger than a file may be")
-                if rows and (rows + 1 > most_rows or held + size + 1 > most_bytes):
-                    number, rows, held = number + 1, 0, 0
-                rows, held = rows + 1, held + size + 1
-                out.append(number)
-            yield pd.DataFrame({group: b[group], "file": out})
-
-    ordered = sizes.repartition(1).sortWithinPartitions(group)
-    return ordered.mapInPandas(fill, f"{group} {requests.schema[group].dataType.simpleString()}, file long")
+    """``file`` number by greedy filling up to rows and bytes, in order of the id; only ids and sizes are shuffled."""
+    sizes = requests.select(group, (F.octet_length(text) + 1).cast("long").alias("size"))
+    return filled(sizes, group, most_rows, most_bytes)
 
 
 def parse_responses(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions import python_strip
+from lexigrove.operators.ordered import folded_sha256
 
 NONE_ID, NONE_NAME = -1, "__none__"
 
@@ -73,9 +74,8 @@ def dataset_meta(df: DataFrame, by: list[str], is_none: Column, text: str = "tex
 
 
 def texts_sha256(df: DataFrame, by: list[str], text: str, order: str) -> DataFrame:
-    """The hash of each group's texts in order, each followed by a NUL. A group is one cached dataset."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[text], F.lit("\0")))
-    return df.groupBy(*by).agg(F.sha2(F.array_join(rows, ""), 256).alias("texts_sha256"))
+    """The hash of each group's texts in order, each followed by a NUL. A group goes by as a stream."""
+    return folded_sha256(df, by, text, order, "\0", "texts_sha256")
 
 
 def require_valid(counts: DataFrame) -> None:

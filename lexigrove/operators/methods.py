@@ -1,16 +1,15 @@
-"""Clustering methods: topic model, k-means, density clusters, entropy-ranked triplets."""
+"""Clustering methods: topic model, k-means, entropy-ranked triplets."""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, KMeans, LDAModel
-from pyspark.ml.feature import PCA, CountVectorizer, Normalizer
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions import tokens
 from lexigrove.operators.tfidf import STOP_WORDS
-from lexigrove.session import with_checkpoint
 
 
 def _lda(docs: DataFrame, k: int, seed: int, iterations: int, vocabulary: int) -> tuple[DataFrame, list[str], LDAModel]:
@@ -45,31 +44,6 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 0, starts: int = 3, key: str
     return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def density_clusters(vectors: DataFrame, least: int = 10, dims: int = 3, width: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, cluster): -1 is noise. Vectors fall into grid cells of their principal components; cells of at least
-    ``least`` rows are dense, dense cells that touch form a cluster, named by its least cell.
-
-    Nothing is compared pair by pair: neighbours meet on equal coordinates. Labels spread until none changes, each
-    round checkpointed.
-    """
-    v = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="u").transform(v)
-    low = PCA(k=dims, inputCol="u", outputCol="low").fit(unit).transform(unit)
-    name = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    rows = low.select(key, F.transform(vector_to_array("low"), lambda x: F.floor(x / width).cast("int")).alias("cell"))
-    dense = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cell", name("cell").alias("root"))
-    steps = F.array(*(F.array(*(F.lit(s // 3**d % 3 - 1) for d in range(dims))) for s in range(3**dims)))
-    dense, moved = with_checkpoint(dense), True
-    while moved:
-        near = dense.select("root", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-        least_near = near.groupBy("cell").agg(F.min("root").alias("near"))
-        new = with_checkpoint(dense.join(least_near, "cell").select("cell", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")))
-        dense, moved = new.select("cell", "root"), bool(new.filter("moved").limit(1).count())
-    names = dense.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("k"))
-    found = rows.join(dense, "cell", "left").join(names, "root", "left")
-    return found.select(key, F.coalesce("k", F.lit(-1)).cast("int").alias("cluster"))
-
-
 def entropy_triplets(vectors: DataFrame, centroids: DataFrame, most: int = 1024, share: float = 0.2, near: float = 0.02, seed: int = 100, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_idx, choice1_idx, choice2_idx): the texts least sure of their cluster, each with a member of its two
     nearest clusters. Sureness is the entropy of a softmax over the distances to the nearest clusters."""

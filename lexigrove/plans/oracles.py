@@ -52,6 +52,11 @@ res as (select id, case when t is null then '<unparseable>' when kind = 'OBJECT'
   when kind is null or kind = 'NULL' then coalesce(list_filter({NAMES}, lambda n: contains(t, n))[1], '<unparseable>') else coalesce(list_filter({NAMES}, lambda n: contains(json_extract_string(t, '$'), n))[1], '<hallucinated>') end as label from o)"""
 
 
+REQUESTS = r"""r as (select doc_id, text as t, row_number() over (order by md5('0:' || doc_id::varchar), doc_id) - 1 as r from documents),
+c as (select r // 15 as chunk, string_agg('- ' || t, chr(10) order by r) as u from r group by all),
+req as (select printf('chunk-%06d', chunk) as custom_id, '{"custom_id":"' || printf('chunk-%06d', chunk) || '","method":"POST","url":"/v1/chat/completions","body":{"model":"small-model","messages":[{"role":"system","content":"Name a topic for each text."},{"role":"user","content":' || to_json(u)::varchar || '}],"max_completion_tokens":4000}}' as request from c)"""
+
+
 def _scores_of(method: str, guess: str) -> str:
     """ARI and NMI of ``guess`` against the label, by seed."""
     m = method
@@ -115,9 +120,17 @@ t as (select case when cid in ('c0', 'c1', 'c3') then 'c3' else cid end as clust
 select cluster_id, case when cluster_id = 'c3' then 'merged' else 'name ' || cluster_id end as name, string_agg(ev, ',' order by r) as evidence, sum(n)::bigint as audit_assignments, round(sum(n * m) / sum(n), 6) as audit_mean_confidence, case when count(*) > 1 then 'modified' else 'audited' end as status from t group by cluster_id""",
     "q28_split_check": """with p as (select doc_id from labels where quality = 1 and toxic = 1), b as (select doc_id, unnest(case when doc_id % 6 = 0 then [0, 1] when doc_id % 5 <> 0 then [doc_id % 2] else [] end) as k from labels where toxic = 1)
 select 'overlap' as problem, doc_id as text_id from b group by doc_id having count(distinct k) > 1 union select 'missing', doc_id from p where doc_id not in (select doc_id from b) union select 'extra', doc_id from b where doc_id not in (select doc_id from p)""",
-    "q29_chat_requests": r"""with r as (select doc_id, regexp_replace(text, '[^\p{L}\p{N} ]', ' ', 'g') as t, row_number() over (order by md5('0:' || doc_id::varchar), doc_id) - 1 as r from documents),
-c as (select r // 15 as chunk, string_agg('- ' || t, '\n' order by r) as u from r group by all)
-select printf('chunk-%06d', chunk) as custom_id, '{"custom_id":"' || printf('chunk-%06d', chunk) || '","method":"POST","url":"/v1/chat/completions","body":{"model":"small-model","messages":[{"role":"system","content":"Name a topic for each text."},{"role":"user","content":"' || u || '"}],"max_completion_tokens":4000}}' as request from c""",
+    "q29_chat_requests": f"with recursive {REQUESTS} select custom_id, request from req",
+    "q29b_request_files": f"""with recursive {REQUESTS},
+line as (select custom_id, strlen(request) + 1 as size, row_number() over (order by custom_id) as i from req),
+fill as (select custom_id, i, 0::bigint as file, 1 as n, size as held from line where i = 1
+  union all select l.custom_id, l.i, f.file + (f.n + 1 > 10 or f.held + l.size > 2500000)::int, case when f.n + 1 > 10 or f.held + l.size > 2500000 then 1 else f.n + 1 end, case when f.n + 1 > 10 or f.held + l.size > 2500000 then l.size else f.held + l.size end
+  from fill f join line l on l.i = f.i + 1) select custom_id, file from fill""",
+    "q47c_assigned_outliers": """with flat as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+cent as (select label, i, avg(x) as x from flat where vec_id % 7 <> 0 group by all),
+sims as (select v.vec_id, c.label, round(sum(v.x * c.x) / sqrt(sum(v.x * v.x) * sum(c.x * c.x)), 10) as s from flat v join cent c using (i) where v.vec_id % 7 = 0 group by all),
+near as (select vec_id, label from sims qualify row_number() over (partition by vec_id order by s desc, label) = 1)
+select e.vec_id, coalesce(n.label, e.label)::int as cluster from embeddings e left join near n using (vec_id)""",
     "q30_label_union": "select label, min(ord) as first from (select doc_id as ord, case when doc_id % 9 = 0 then 'unknown_topic 1' else lang || '/' || source end as label from documents) where not contains(label, 'unknown_topic') group by all",
     "q30b_merged_labels": "select conv_id * 100 + turn as id, case conv_id % 4 when 0 then case when role = 'b' then 'b' else 'b|' || role end when 1 then case when role = 'x' then 'x' else 'x|' || role end end as labels from conversations",
     "q31_response_resolution": f"with {ANSWERS} select id, label from res",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import agreement_label, doc_id_format, preview, token_cap
-from lexigrove.operators import agreement, annotate, audits, corpus, evaluation, methods, sampling, taxonomy, tfidf
+from lexigrove.operators import agreement, annotate, audits, corpus, density, evaluation, methods, sampling, taxonomy, tfidf, topics
 from lexigrove.session import shared_folder
 
 PROPOSALS = (("p1", "lang", 0), ("p2", "source", 1), ("p3", "concat('b', cast(n_chars div 1000 as string))", 2))
@@ -263,11 +263,12 @@ def q28_split_check(spark, d):
 
 def q29_chat_requests(spark, d):
     chunks = annotate.numbered_chunks(table(spark, d, "documents").select("doc_id", "text"), 15, 0)
-    return annotate.chat_requests(chunks.withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N} ]", " ")), "small-model", "Name a topic for each text.")
+    return annotate.chat_requests(chunks, "small-model", "Name a topic for each text.")
 
 
 def q29b_request_files(spark, d):
-    return annotate.byte_chunks(q29_chat_requests(spark, d), 50_000, 200_000_000)
+    """Files of few requests, so that there are many on small tables too."""
+    return annotate.byte_chunks(q29_chat_requests(spark, d), 10, 2_500_000)
 
 
 def q30_label_union(spark, d):
@@ -400,7 +401,20 @@ def q43_nearest_centroid(spark, d):
 
 
 def q47_density_clusters(spark, d):
-    return methods.density_clusters(vectors(spark, d))
+    return density.density_topics(vectors(spark, d))
+
+
+def q47b_reduced_topics(spark, d):
+    """Topics by language and source, brought down to six with the outliers."""
+    name = F.concat_ws("/", "lang", "source")
+    topic = F.when(F.col("source") == "src3", F.lit(-1)).otherwise(F.pmod(F.crc32(name), F.lit(1000))).cast("int")
+    return topics.reduce_topics(table(spark, d, "documents").select("doc_id", "text", topic.alias("cluster")), 6)
+
+
+def q47c_assigned_outliers(spark, d):
+    """Every seventh vector an outlier, given to the nearest label."""
+    v = vectors(spark, d)
+    return topics.assign_outliers(v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("label")).alias("cluster")), v, "vec_id")
 
 
 def q48_entropy_triplets(spark, d):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrove.scratch import scratch_root
+
 
 def get_session(app: str = "lexigrove", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with UTC, AQE and Arrow on; ``master`` and partitions are left to the cluster when not given."""
@@ -27,14 +27,9 @@ def get_session(app: str = "lexigrove", master: str | None = None, shuffle_parti
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where none is set, local mode takes a folder of its own, a cluster an error."""
     sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='lexigrove_')}")
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get().rstrip("/")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch_root(spark))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def with_checkpoint(df: DataFrame) -> DataFrame:

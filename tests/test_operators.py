@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import agreement_label, confidence_label, first_json_block, preview, python_strip, topic_names
-from lexigrove.operators import agreement, annotate, audits, corpus, evaluation, methods, sampling, taxonomy
+from lexigrove.operators import agreement, annotate, audits, corpus, density, evaluation, sampling, taxonomy
 
 CLUSTERS = [("c1", "Billing", "d1", ["1", "2"], 4, 4.5, "audited"), ("c2", "Login", "d2", ["2", "3"], 2, 3.0, "audited"), ("c3", "Other", "d3", ["5", "6"], 0, None, "proposed")]
 
@@ -157,7 +157,7 @@ def test_density(spark):
     rng = random.Random(1)
     rows = [(i, [c[0] + rng.gauss(0, 0.01), c[1] + rng.gauss(0, 0.01), c[2]]) for i, c in enumerate([(1.0, 0.0, 0.0)] * 40 + [(0.0, 1.0, 0.0)] * 40 + [(0.5, 0.5, 0.9)])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.cluster for r in methods.density_clusters(v, least=5, dims=2).collect()}
+    got = {r.vec_id: r.cluster for r in density.density_topics(v, least=5).collect()}
     assert len({got[i] for i in range(40)}) == 1 and got[0] != got[41] and got[80] == -1
 
 
