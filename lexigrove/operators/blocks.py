@@ -32,7 +32,9 @@ def scaled(vector: Column, scale: int) -> Column:
     """Components as integers floor(scale * x); an error where one is beyond ``LARGEST``."""
     v = vector.cast("array<double>")
     wide = F.exists(v, lambda x: F.abs(x * scale) >= LARGEST)
-    return F.when(wide, F.raise_error(F.lit(f"a component is not below {LARGEST // scale}")).cast("array<long>")).otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("long")))
+    error = F.raise_error(F.lit(f"a component is not below {LARGEST // scale}")).cast("array<long>")
+    # of vectors that are not sound, null: no filter before this is relied on
+    return F.when(sound(vector), F.when(wide, error).otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("long"))))
 
 
 def numbered(rows: DataFrame, name: str, key: str = "id", vector: str = "v") -> tuple[DataFrame, int, int]:
