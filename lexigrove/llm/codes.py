@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import arrow_map, bucketed, carried, shuffle_width, staged
-from lexigrove.llm.vectors import matrix, named, scaled, sound
+from lexigrove.operators.blocks import matrix, named, scaled, sound
 
 DELTA = "array<struct<part:int,entry:int,n:long,sums:array<long>>>"
 _ARROW = pa.schema([("rid", pa.int64()), ("code", pa.binary()), ("error", pa.int64()), ("delta", pa.list_(pa.struct([("part", pa.int32()), ("entry", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])))])

@@ -7,16 +7,13 @@ character is, so byte runs and character runs are the same.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+
+from lexigrove.scratch import arrow_map, bucketed, drop_path, scratch_path, scratch_root, ship, shuffle_width, staged  # noqa: F401
 
 #: Bytes of text that one array step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -26,59 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, local mode takes a folder of its own, a cluster an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        elif not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        else:
-            root = f"file://{tempfile.mkdtemp(prefix='lexigrove_')}"
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lexigrove_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lexigrove_ship_")) / "lexigrove_workers.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    sc.addPyFile(str(target))
-    sc._lexigrove_shipped = True
-
-
-def arrow_map(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 # ---------------------------------------------------------------- bytes of a text column
 
 
@@ -208,26 +152,3 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-
-# ---------------------------------------------------------------- tables that are joined again and again
-
-
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a table of ``buckets`` buckets of ``key`` in the shared folder, and what drops it again.
-
-    Joins of such tables on ``key`` need no shuffle. ``df`` should be dealt by ``repartition(buckets, key)`` or come from
-    a join of such tables, else each task writes to many buckets.
-    """
-    spark = df.sparkSession
-    path, table_name = scratch_path(spark, name), f"lexigrove_{name}_{uuid.uuid4().hex}"
-    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).format("parquet").saveAsTable(table_name)
-
-    def drop() -> None:
-        spark.sql(f"drop table if exists {table_name}")
-        drop_path(spark, path)
-
-    return spark.table(table_name), drop
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import arrow_map, bucketed, shuffle_width, staged
-from lexigrove.llm.vectors import Tree, block_of, block_starts, far_line, matrix, named, nearest, numbered, pack, sample, scaled, sound, whole
+from lexigrove.operators.blocks import Tree, block_of, block_starts, far_line, matrix, named, nearest, numbered, pack, sample, scaled, sound, whole
 
 #: Rows a cell should hold, and the most cells; their centers and radii are sent to every task (2,048 x 64 doubles: 1 MB).
 CELL_ROWS, MOST_CELLS = 1_024, 2_048

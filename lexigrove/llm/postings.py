@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import arrow_map, bucketed, shuffle_width, spread, staged
-from lexigrove.llm.vectors import Tree, block_of, block_starts, matrix, named, numbered, pack, sample, sound, whole
+from lexigrove.operators.blocks import Tree, block_of, block_starts, matrix, named, numbered, pack, sample, sound, whole
 
 #: Rows a list should hold, and the most lists; centroids and graph are sent to every task (2,048 x 64 doubles: 1 MB).
 LIST_ROWS, MOST_LISTS = 256, 2_048
