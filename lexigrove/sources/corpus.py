@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.functions import python_strip
+from lexigrove.sources.split import csv_records, json_items
 
 DOCUMENT = "doc_id string, text string, gold_label_id int, gold_label_name string, is_none boolean, source_split string, source_row_index int"
 PROPOSAL = "timestamp string, sample_size int, sample_strategy string, style string, clusters array<struct<name string, description string, text_ids array<string>, reasoning string>>, unclustered_ids array<string>, observations string"
@@ -41,23 +42,22 @@ def _finish(df: DataFrame, text, row_id) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, text_col: str, id_col: str | None = None) -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1)
-    raw = raw.toDF(*(c.removeprefix(BOM) for c in raw.columns))
-    if text_col not in raw.columns:
-        raise ValueError(f"no column {text_col}; there are {', '.join(raw.columns)}")
-    has_id = id_col is not None and id_col in raw.columns
-    rows = numbered(raw.select(F.col(f"`{text_col}`").alias("t"), (python_strip(F.col(f"`{id_col}`")) if has_id else F.lit(None).cast("string")).alias("i")))
-    return _finish(rows, F.col("t"), F.col("i"))
+    """Quoted fields may hold line ends. Of columns of one name the last counts; lines end with a line feed."""
+    names, rows = csv_records(spark, path)
+    if text_col not in names:
+        raise ValueError(f"no column {text_col}; there are {', '.join(names)}")
+    field = lambda c: F.col(f"row.c{len(names) - 1 - names[::-1].index(c)}")
+    row_id = python_strip(field(id_col)) if id_col is not None and id_col in names else F.lit(None).cast("string")
+    return _finish(rows, field(text_col), row_id)
 
 
 def read_json(spark: SparkSession, path: str, text_col: str, id_col: str | None = None) -> DataFrame:
-    """A list of objects or of strings; strings stay even if blank. The list is one document, read as one value."""
-    one = spark.read.text(path, wholetext=True).select(F.from_json(F.ltrim(F.regexp_replace("value", f"^{BOM}", "")), "array<string>").alias("a"))
-    rows = one.select(F.posexplode("a").alias("ord", "v")).withColumn("ord", F.col("ord").cast("long"))
-    is_object = F.col("v").startswith("{")
+    """A list of objects or of strings; strings stay even if blank."""
+    value = F.get(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), F.lit(0))
+    rows = json_items(spark, path).select("ord", value.alias("v"), F.substring("item", 1, 1).alias("kind"))
     field = lambda c: F.get_json_object("v", f"$['{c}']")
-    objects = _finish(rows.filter(is_object), field(text_col), field(id_col or "id"))
-    return objects.union(rows.filter(~is_object).select("ord", F.col("ord").cast("string"), python_strip(F.col("v"))))
+    objects = _finish(rows.filter("kind = '{'"), field(text_col), field(id_col or "id"))
+    return objects.union(rows.filter("kind = '\"'").select("ord", F.col("ord").cast("string"), python_strip(F.col("v"))))
 
 
 def read_jsonl(spark: SparkSession, path: str, text_col: str, id_col: str | None = None) -> DataFrame:
