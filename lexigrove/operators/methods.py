@@ -2,64 +2,151 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans, LDAModel
-from pyspark.ml.feature import CountVectorizer, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions import tokens
+from lexigrove.operators.blocks import matrix, named, nearest, numbered, sound
+from lexigrove.operators.evaluation import centroids
+from lexigrove.operators.ordered import running
+from lexigrove.operators.summed import drawn_starts, fit_topics, lloyd, topic_of
 from lexigrove.operators.tfidf import STOP_WORDS
+from lexigrove.operators.topics import merge_order
+from lexigrove.scratch import arrow_map, staged
+
 
+def counted(docs: DataFrame, vocabulary: int = 10_000, least: int = 2, share: float = 0.95) -> tuple[DataFrame, list[str]]:
+    """((doc_id, term, n): the known terms of each text and how often they come, terms in order).
 
-def _lda(docs: DataFrame, k: int, seed: int, iterations: int, vocabulary: int) -> tuple[DataFrame, list[str], LDAModel]:
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    words = words.select("doc_id", F.filter("w", lambda x: ~x.isin(STOP_WORDS)).alias("words"))
-    n = words.count()
-    vec = CountVectorizer(inputCol="words", outputCol="v", minDF=2 if n > 2 else 1, maxDF=max(0.95, 1.0 / max(n, 1)), vocabSize=vocabulary).fit(words)
-    rows = vec.transform(words)
-    return rows, vec.vocabulary, LDA(k=k, maxIter=iterations, seed=seed, featuresCol="v", optimizer="online").fit(rows)
+    Terms are in at least ``least`` texts (1 if that leaves none) and in no more than ``share`` of them, the ``vocabulary``
+    most frequent; stop words are left out. Texts without terms have empty lists.
+    """
+    held = staged(docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w")), "topic_words")
+    n = held.count()
+    each = staged(held.select("doc_id", F.explode("w").alias("t")).filter(~F.col("t").isin(STOP_WORDS)).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "topic_counts")
+    seen = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    for fewest in (least, 1):
+        known = seen.filter((F.col("df") >= fewest) & (F.col("df") <= max(share * n, 1))).orderBy(F.desc("total"), "t").limit(vocabulary).select("t").collect()
+        if known:
+            break
+    terms = sorted(r.t for r in known)
+    ids = docs.sparkSession.createDataFrame(list(enumerate(terms)), "term int, t string")
+    found = each.join(F.broadcast(ids), "t").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("x"))
+    rows = held.select("doc_id").join(found, "doc_id", "left")
+    lists = [F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{k}>")).alias(c) for c, k in (("term", "int"), ("n", "bigint"))]
+    return staged(rows.select("doc_id", *lists), "topic_rows"), terms
 
 
 def topic_words(docs: DataFrame, k: int, most: int = 10, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:
-    """(topic, rank, term, weight): the heaviest words of each topic."""
-    _, terms, model = _lda(docs, k, seed, iterations, vocabulary)
-    rows = [(r.topic, i + 1, terms[t], float(w)) for r in model.describeTopics(most).collect() for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights, strict=True))]
-    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+    """(topic, rank, term, weight): the heaviest words of each topic, weights as shares of the topic."""
+    rows, terms = counted(docs, vocabulary)
+    topics = fit_topics(rows, k, len(terms), seed, iterations)
+    shares = topics / topics.sum(axis=1, keepdims=True) if terms else topics
+    best = [(t, r + 1, terms[i], float(shares[t, i])) for t in range(k) for r, i in enumerate(np.argsort(-shares[t], kind="stable")[:most])]
+    return docs.sparkSession.createDataFrame(best, "topic int, rank int, term string, weight double")
 
 
 def lda(docs: DataFrame, k: int, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:
-    """(doc_id, topic, confidence): the first largest topic of each text, by online variational Bayes."""
-    rows, _, model = _lda(docs, k, seed, iterations, vocabulary)
-    p = vector_to_array("topicDistribution")
-    return model.transform(rows).select("doc_id", (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("topic"), F.array_max(p).alias("confidence"))
-
-
-def kmeans(vectors: DataFrame, k: int, seed: int = 0, starts: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, cluster) on unit vectors: the start of the least cost. Rows are sorted by key so that seeds repeat."""
-    v = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw")).repartitionByRange(key).sortWithinPartitions(key)
-    rows = Normalizer(inputCol="raw", outputCol="features").transform(v)
-    models = [KMeans(k=k, seed=seed + i, maxIter=300).fit(rows) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
-
-
-def entropy_triplets(vectors: DataFrame, centroids: DataFrame, most: int = 1024, share: float = 0.2, near: float = 0.02, seed: int = 100, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_idx, choice1_idx, choice2_idx): the texts least sure of their cluster, each with a member of its two
-    nearest clusters. Sureness is the entropy of a softmax over the distances to the nearest clusters."""
-    held = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("label", "centroid"))).alias("held"), F.count(F.lit(1)).alias("k")))
-    v = F.col(vector)
-    dist = lambda c: F.sqrt(F.aggregate(F.zip_with(v, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    rows = vectors.crossJoin(held).withColumn("d", F.sort_array(F.transform("held", lambda c: F.struct(dist(c.centroid).alias("d"), c.label.alias("label")))))
-    rows = rows.withColumn("d", F.slice("d", 1, F.greatest(F.lit(2), F.ceil(F.col("k") * near).cast("int"))))
-    weight = F.transform("d", lambda x: F.exp(-x.d))
-    total = F.aggregate(weight, F.lit(0.0), lambda s, x: s + x)
-    entropy = -F.aggregate(F.transform(weight, lambda x: x / total * F.log(x / total)), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.select(F.col(key).alias("query_idx"), F.get("d", F.lit(0)).getField("label").alias("l1"), F.get("d", F.lit(1)).getField("label").alias("l2"), entropy.alias("entropy"))
-    h = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")))
-    unsure = rows.orderBy(F.round("entropy", 10).desc(), "query_idx").limit(most)
-    member = rows.groupBy("l1").agg(F.min_by("query_idx", h("query_idx")).alias("idx"), F.max_by("query_idx", h("query_idx")).alias("other"))
-    one = member.select("l1", F.col("idx").alias("c1"), F.col("other").alias("o1"))
-    two = member.select(F.col("l1").alias("l2"), F.col("idx").alias("choice2_idx"))
-    both = unsure.join(F.broadcast(one), "l1").join(F.broadcast(two), "l2")
-    return both.select("query_idx", F.when(F.col("c1") == F.col("query_idx"), F.col("o1")).otherwise(F.col("c1")).alias("choice1_idx"), "choice2_idx", "entropy")
+    """(doc_id, topic, confidence): the first largest topic of each text, by batch variational Bayes."""
+    rows, terms = counted(docs, vocabulary)
+    return topic_of(rows, fit_topics(rows, k, len(terms), seed, iterations), "doc_id")
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 0, starts: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, cluster) on unit vectors: of ``starts`` starts, all computed together, the one of the least cost.
+
+    Rows without a sound vector of the common length, and zero vectors, are left out.
+    """
+    v = named(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    good = vectors.filter(sound(v) & (norm > 0)).select(named(key).alias("id"), F.transform(v, lambda x: x / norm).alias("v"))
+    rows, n, dim = numbered(good, "kmeans_rows")
+    if not n:
+        return vectors.select(named(key).alias(key), F.lit(0).alias("cluster")).limit(0)
+    drawn = drawn_starts(rows.select(F.xxhash64("id", "rid").alias("id"), "v"), dim, min(k, n), seed, starts)
+    centers, cost = lloyd(rows, dim, drawn)
+    best = centers[int(np.argmin(cost))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(nearest(matrix(b.column("v"), dim), best).astype(np.int32))], ["id", "cluster"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return arrow_map(rows.select("id", "v"), run, f"id {kind}, cluster int").select(F.col("id").alias(key), "cluster")
+
+
+def _draw(seed: int, *parts: str | Column) -> Column:
+    """A number from 0 to 16^12 - 1 by the digest of seed and parts."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.lit(p) if p.startswith("=") else F.col(p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def joined_centers(centroids: list[tuple[int, int, list[float]]], cap: float) -> tuple[dict[int, int], list[int], np.ndarray]:
+    """(cluster of each label, clusters, their centers) of centroids (label, size, vector), joined while no two of a cluster
+    are farther apart than ``cap``."""
+    x = np.array([c[2] for c in centroids], float).reshape(len(centroids), -1)
+    far = np.round(np.sqrt(np.maximum(((x[:, None] - x) ** 2).sum(axis=2), 0)), 12)
+    group = merge_order(far, 1, complete=True, reach=cap)
+    kept = sorted(set(group))
+    size = np.array([c[1] for c in centroids], float)
+    mean = np.array([np.average(x[[i for i, g in enumerate(group) if g == k]], axis=0, weights=size[[i for i, g in enumerate(group) if g == k]]) for k in kept])
+    return {c[0]: kept.index(g) for c, g in zip(centroids, group, strict=True)}, kept, mean
+
+
+def entropy_triplets(
+    vectors: DataFrame, labels: DataFrame, most: int = 1024, share: float = 0.2, near: float = 0.02, cap: float = 67.0, seed: int = 100, key: str = "vec_id", vector: str = "embedding", label: str = "label"
+) -> DataFrame:
+    """(query_idx, choice1_idx, choice2_idx, entropy): rows unsure of their cluster, each with members of two close ones.
+
+    ``labels`` is (key, label). Their centroids are joined up to a distance of ``cap``. A row's chance of a cluster falls as
+    1 / (1 + squared distance); of the ``near`` share of clusters, two at least, that are closest, the chances make its
+    entropy. ``most`` rows are drawn from the ``share`` of highest entropy (rounded to 10 digits, ties by key), for each two
+    of its close clusters and a member of either, all by digests of ``seed`` and keys. Keys must be unique. Rows that are the
+    only member of a cluster drawn for them give none, and there are none where all is one cluster. The number of labels
+    is bounded by the driver, where their centroids are joined.
+    """
+    spark = vectors.sparkSession
+    v = named(vector).cast("array<double>")
+    good = vectors.filter(sound(v) & (F.size(v) > 0)).select(named(key).alias("id"), v.alias("v")).join(labels.select(named(key).alias("id"), named(label).alias("label")), "id")
+    rows, n, dim = numbered(good, "triplet_rows")
+    means = centroids(rows, "label", "v").join(rows.groupBy("label").count(), "label").orderBy("label").collect() if n else []
+    of, kept, centers = joined_centers([(r.label, r["count"], r.centroid) for r in means], cap) if n else ({}, [], np.zeros((0, 0)))
+    if len(kept) < 2:
+        return spark.createDataFrame([], "query_idx long, choice1_idx long, choice2_idx long, entropy double")
+    close = min(len(kept), max(2, math.ceil(len(kept) * near)))
+
+    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("v"), dim)
+            chance = 1 / (1 + ((x[:, None] - centers) ** 2).sum(axis=2))
+            order = np.argsort(-np.round(chance, 12), axis=1, kind="stable")[:, :close]
+            p = np.take_along_axis(chance, order, axis=1)
+            p /= p.sum(axis=1, keepdims=True)
+            own = [of[k] for k in b.column("label").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.int32()), pa.array(np.round(-(p * np.log(p)).sum(axis=1), 10)), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "cluster", "entropy", "close"])
+
+    found = staged(arrow_map(rows.select("id", "v", "label"), unsure, f"id {rows.schema['id'].dataType.simpleString()}, cluster int, entropy double, close array<int>"), "triplet_entropy")
+    ranked = running(found.select("id", "entropy", "close", (-F.col("entropy")).alias("least")), ["least", "id"], F.lit(1), "triplet_ranks")
+    pool = ranked.filter(F.col("pos") < math.ceil(share * n)).withColumn("h", _draw(seed, "=query", "id"))
+    asked = pool.orderBy("h", "id").limit(most)
+    first = _draw(seed, "=first", "id") % close
+    second = (first + 1 + _draw(seed, "=second", "id") % (close - 1)) % close
+    asked = staged(asked.select("id", "entropy", *(F.get("close", i.cast("int")).alias(c) for c, i in (("one", first), ("two", second)))), "triplet_queries")
+    members = running(found.select("id", "cluster", _draw(seed, "=member", "id").alias("h")), ["cluster", "h", "id"], F.lit(1), "triplet_members")
+    starts = members.groupBy("cluster").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("size"))
+    for c in ("one", "two"):
+        at = starts.select(F.col("cluster").alias(c), "first", "size")
+        spot = F.col("first") + _draw(seed, f"={c}", "id") % F.col("size")
+        after = F.col("first") + (F.col("spot") - F.col("first") + 1) % F.col("size")
+        places = asked.join(F.broadcast(at), c).withColumn("spot", spot).withColumn("after", after)
+        pick = lambda to, name: members.select(F.col("pos").alias(to), F.col("id").alias(name))
+        both = places.join(pick("spot", "a"), "spot").join(pick("after", "b"), "after")
+        asked = both.withColumn(f"{c}_id", F.when(F.col("a") != F.col("id"), F.col("a")).otherwise(F.col("b"))).filter(F.col(f"{c}_id") != F.col("id")).drop("first", "size", "spot", "after", "a", "b")
+    return asked.select(F.col("id").alias("query_idx"), F.col("one_id").alias("choice1_idx"), F.col("two_id").alias("choice2_idx"), "entropy")

@@ -15,10 +15,11 @@ from lexigrove.operators import density, evaluation, tfidf
 TERMS, MOST_TOPICS = 200, 4_000
 
 
-def merge_order(distance: np.ndarray, until: int) -> list[int]:
-    """For each row of a distance matrix the least row of its group, when groups are joined until ``until`` are left.
+def merge_order(distance: np.ndarray, until: int, complete: bool = False, reach: float = float("inf")) -> list[int]:
+    """For each row of a distance matrix the least row of its group, when groups are joined until ``until`` are left or the
+    next two are farther apart than ``reach``.
 
-    The two groups of the least mean distance join first, ties by the smaller rows. A heap holds a candidate a pair; a
+    The two groups of the least mean distance (``complete``: the least largest one) join first, ties by the smaller rows. A heap holds a candidate a pair; a
     candidate of a group that has grown since is dropped when it comes up, so nothing in the heap is ever changed.
     """
     n = len(distance)
@@ -28,11 +29,13 @@ def merge_order(distance: np.ndarray, until: int) -> list[int]:
     heapq.heapify(heap)
     left = n
     while left > max(until, 1):
-        _, i, j, gi, gj = heapq.heappop(heap)
+        apart, i, j, gi, gj = heapq.heappop(heap)
         if not (alive[i] and alive[j] and grown[i] == gi and grown[j] == gj):
             continue
-        mean = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
-        far[i], far[:, i] = mean, mean
+        if apart > reach:
+            break
+        both = np.maximum(far[i], far[j]) if complete else (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
+        far[i], far[:, i] = both, both
         size[i], alive[j], grown[i], left = size[i] + size[j], False, grown[i] + 1, left - 1
         group = [i if g == j else g for g in group]
         for k in range(n):

@@ -14,7 +14,7 @@ from lexigrove.sources.corpus import write_dataset
 #: Method -> (documents or vectors, k, seed) -> (key, cluster).
 METHODS: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
     "lda": lambda df, k, seed: methods.lda(df, k, seed).select("doc_id", F.col("topic").alias("cluster")),
-    "kmeans": lambda df, k, seed: methods.kmeans(df, k, seed, starts=10, key="doc_id"),
+    "kmeans": lambda df, k, seed: methods.kmeans(df, k, seed, key="doc_id"),
     "density": lambda df, k, seed: density.density_topics(df, key="doc_id"),
     "density-given-k": lambda df, k, seed: topics.density_method(df, k),
 }
