@@ -10,6 +10,8 @@
    are drawn anew for each list from its largest class. Classes are joined after each round.
 4. Each set has a home: of the sets it was compared with in the first round, the one that most others were compared
    with too. Pairs within lists follow, but only of members whose classes and homes differ: a class needs no second link.
+   Sets of one home that are still in different classes are then sorted by what they lack of it, in ``ORDERS`` orders of
+   its elements, and compared with their next neighbours: likely links of a large group, for a few pairs a set.
 5. Two sets of one home share at most the smaller of their overlaps with it, so they can link only if they also share
    elements outside it (found by prefix filtering over those, rarest elements first), or if both overlaps alone would
    do. Members of longer compound lists and different homes meet by prefix filtering over full sets. Only pairs of
@@ -49,6 +51,10 @@ SHORT, MEDIUM = 64, 256
 COUNTERS = 1 << 18
 #: Rounds of hubs before pairs are made. More rounds leave fewer pairs; the result is the same.
 ROUNDS = 2
+#: Orders in which sets of one home are sorted by what they lack, elements that an order looks at, neighbours compared.
+ORDERS, DEEP, NEXT = 8, 4, 2
+#: Longs of a signature of what a set lacks.
+WORDS = 8
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -286,12 +292,82 @@ def _counters(texts: DataFrame, size: int) -> np.ndarray:
     return sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in some.collect()), np.zeros(COUNTERS, np.int64))
 
 
-def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
-    """Candidates among sets of one home, and of different homes among members of long lists, that are still in
-    different classes."""
+def _mixed_homes(homes: DataFrame, at: DataFrame) -> DataFrame:
+    """(rep, home, shares, root) of homes whose sets are in different classes."""
     kin = _classed(homes, at)
     apart = kin.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("home")
-    kin = kin.join(apart, "home", "left_semi").select("rep", F.lit(False).alias("listed"))
+    return kin.join(apart, "home", "left_semi")
+
+
+def lack_signature(lack: np.ndarray) -> list[int]:
+    """64 * WORDS bits, each one of the lowest element in one of as many stretches of the hash range. An element that one
+    of two sets lacks alone changes one bit at most, and that with a chance of a half."""
+    where = (lack >> np.uint64(64 - 6 - (WORDS - 1).bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(lack) else []
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[where[first]] = (mix64(lack[first]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(">i8").tolist()
+
+
+def _lacks(homes: DataFrame, at: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, home, q, low): of sets of mixed homes, the signature of what they lack of the home, and the first ``DEEP``
+    elements of it in each order."""
+    kin = _mixed_homes(homes, at).select("rep", "home")
+    wanted = docs.join(kin.select("rep").union(kin.select("home")).distinct(), "rep", "left_semi").select("rep", "text")
+    texts = staged(wanted, "texts")
+    both = kin.join(texts, "rep").join(texts.select(F.col("rep").alias("home"), F.col("text").alias("home_text")), "home").sortWithinPartitions("home")
+    salts = mix64(np.arange(1, ORDERS + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, of = np.zeros(0, np.uint64), None
+        for batch in batches:
+            signs, lows = [], []
+            for i, (v, h) in enumerate(zip(shingle_sets(batch.column(2), size), batch.column(0).to_pylist(), strict=True)):
+                if of is None or h != of:
+                    home, of = next(shingle_sets(batch.column(3).slice(i, 1), size)), h
+                lack = home[~np.isin(home, v, assume_unique=True)]
+                signs.append(lack_signature(lack))
+                low = np.zeros((ORDERS, DEEP), np.int64)
+                for k, salt in enumerate(salts):
+                    first = np.sort(mix64(lack ^ salt))[:DEEP]
+                    low[k, : len(first)] = first.view(np.int64)
+                lows.append(low.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(signs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.list_(pa.int64())))], names=["rep", "home", "q", "low"])
+
+    kind = kin.schema["rep"].dataType.simpleString()
+    return staged(arrow_map(both.select("home", "rep", "text", "home_text"), run, f"rep {kind}, home {kind}, q array<long>, low array<array<long>>"), "lacks")
+
+
+def _side_by_side(lacks: DataFrame, at: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Pairs of sets of one home and different classes that are next to each other in one of the orders and lack the same
+    first element of it: at most ``ORDERS * NEXT`` a set."""
+    m = _classed(lacks.select("rep", "home", "low"), at).join(sets.select("rep", "n", "s1", "s2"), "rep")
+    rows = m.select("home", "rep", "root", "n", "s1", "s2", F.posexplode("low").alias("k", "low"))
+    order = ["home", "k", "low", "rep"]
+    # Ranges of the order, so a large home is spread over tasks; pairs across two ranges are left to what follows.
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                before = [p for p in before if p["home"] == r["home"] and p["k"] == r["k"] and p["low"][0] == r["low"][0]][-NEXT:]
+                out += [(p, r) for p in before if p["root"] != r["root"]]
+                before.append(r)
+            pairs = [{"a": min(p["rep"], r["rep"]), "b": max(p["rep"], r["rep"]), "x": p, "y": r} for p, r in out]
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], batch.schema.field("rep").type) for c in "ab"] + [pa.array([p[z][c] for p in pairs], pa.int64()) for z in "xy" for c in ("n", "s1", "s2")], names=["a", "b", *(f"{z}{c}" for z in "xy" for c in ("n", "s1", "s2"))])
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    found = arrow_map(dealt.select("home", "k", "low", "rep", "root", "n", "s1", "s2"), run, f"a {kind}, b {kind}, " + ", ".join(f"{z}{c} long" for z in "xy" for c in ("n", "s1", "s2")))
+    side = lambda z: F.struct(*(F.col(f"{z}{c}").alias(c) for c in ("n", "s1", "s2")))
+    return found.filter(_may_link(side("x"), side("y"), t)).select("a", "b").distinct()
+
+
+def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame, lacks: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
+    """Candidates among sets of one home, and of different homes among members of long lists, that are still in
+    different classes."""
+    kin = _mixed_homes(homes, at).select("rep", F.lit(False).alias("listed"))
     listed = _mixed(_classed(members, at)).select("rep", F.lit(True).alias("listed"))
     m = _classed(kin.union(listed).groupBy("rep").agg(F.max("listed").alias("listed")), at).join(homes, "rep", "left")
     m = m.withColumn("home", F.coalesce("home", "rep")).join(sets.select("rep", "n", "s1", "s2"), "rep")
@@ -342,18 +418,25 @@ def _rest(members: DataFrame, at: DataFrame, sets: DataFrame, homes: DataFrame,
     near = staged(near.select("rep", "e", "c", "common", "gained", "k"), "near")
     gained = near.groupBy("rep").agg(F.max("gained").alias("gained"))
     m = m.join(gained, "rep", "left").withColumn("gained", F.coalesce("gained", F.lit(0)))
-    m = m.withColumn("shares", F.col("shares") + F.col("gained")).withColumn("beyond", F.col("beyond") - F.col("gained")).drop("gained").join(sizes, "home")
+    m = m.withColumn("lack", -F.col("shares")).withColumn("shares", F.col("shares") + F.col("gained")).withColumn("beyond", F.col("beyond") - F.col("gained")).join(sizes, "home")
+    m = m.join(sets.select(F.col("rep").alias("home"), F.col("n").alias("whole")), "home").withColumn("lack", F.col("whole") + F.col("lack"))
+    m = m.join(lacks.select("rep", "q"), "rep", "left")
     m = staged(m, "members")
     # Rarest first: a partner of at least the smallest size shares one of these.
     wanted = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("smallest")) * (t / (1 + t)) - F.col("shares") - 1e-9))
-    near = staged(near.filter("c > 1 and not common").join(m, "rep").filter(F.col("k") <= F.col("beyond") - wanted + 1), "near")
+    near = staged(near.filter("c > 1 and not common").drop("gained").join(m, "rep").filter(F.col("k") <= F.col("beyond") - wanted + 1), "near")
     same = near.alias("a").join(near.alias("b"), [a.home == b.home, a.e == b.e, fits, F.least(a.shares, b.shares) + F.least(a.beyond, b.beyond) >= need])
     # Overlaps with the home that would do alone: only of sets small enough beside the smallest.
     enough = staged(m.filter((F.col("n") + F.col("smallest")) * (t / (1 + t)) - 1e-9 <= F.col("shares")), "enough")
     # Of two classes one is not the home's largest.
     largest = m.groupBy("home", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max_by("root", "k").alias("largest"))
     outer = enough.join(largest, "home").filter("root <> largest")
-    alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need])
+    # Such a pair shares of the home what neither lacks, and of the rest what both have gained. So it lacks at most
+    # whole + gained - need elements together, and the elements that one lacks alone are no more than this:
+    alone_most = 2 * (a.whole + F.least(a.gained, b.gained) - need) - a.lack - b.lack + 1e-6
+    differ = F.coalesce(sum((F.bit_count(F.get(a.q, F.lit(i)).bitwiseXOR(F.get(b.q, F.lit(i)))) for i in range(WORDS)), F.lit(0)), F.lit(0))
+    alike = (alone_most >= 0) & (differ <= F.least(alone_most, alone_most / 2 + 3.15 * F.sqrt(F.greatest(alone_most, F.lit(0.0))) + 1))
+    alone = outer.alias("a").join(enough.alias("b"), [a.home == b.home, a.root != b.root, a.rep != b.rep, _may_link(a, b, t), F.least(a.shares, b.shares) >= need, alike])
     # Elements of one home only have no pair to give between homes.
     far = elements(False)
     several = far.groupBy("e").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("e")
@@ -403,8 +486,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     for turn in range(1, ROUNDS):
         join_classes(_spokes(base, compound, at, t, turn))
     join_classes(_paired(base, compound, homes, at, t))
+    lacks = _lacks(homes, at, texts, shingle)
+    join_classes(_side_by_side(lacks, at, sets, t))
     members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
-    join_classes(_rest(members, at, sets, homes, texts, shingle, t))
+    join_classes(_rest(members, at, sets, homes, lacks, texts, shingle, t))
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
