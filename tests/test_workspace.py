@@ -25,7 +25,7 @@ def test_states_survive_their_driver(spark, tmp_path, monkeypatch):
     assert [r.action for r in w.log().orderBy("ts").collect()] == ["init", "set", "merge", "no_change"]
     for _ in range(2):
         w.mark_seen(spark.createDataFrame([(1,), (2,), (2,)], "doc_id long"))
-    assert sorted(r.doc_id for r in spark.read.parquet(f"{w.root}/seen").collect()) == ["1", "2"]
+    assert sorted(r.doc_id for r in w._rows("seen", "doc_id string").collect()) == ["1", "2"]
     w.log().write.parquet(f"{w.root}/proposals")
     assert w.archive(["proposals", "audits", "saves"]) == ["proposals"]
     assert spark.read.parquet(f"{w.root}/archive/proposals").count() == 4
