@@ -200,7 +200,8 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(t) for t in _blocks(items, item_id, item_text)]
     keep = carried(docs, keep, ["n_words", "spans", "items", *(["clean_text"] if cleaned else [])])
-    chosen = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__in"))
+    own = [f"c{k}" for k in range(len(keep))]
+    chosen = docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keep, own, strict=True)), F.col(f"`{text}`").alias("in"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     more = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
     more += [T.StructField("clean_text", T.StringType())] if cleaned else []
@@ -239,7 +240,8 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "
                     cols.append(pa.array([_without(data, offs, words, d, spans[d]) if spans[d] else source[lo + d].as_py() for d in range(hi - lo)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return arrow_map(chosen, run, out)
+    found = arrow_map(chosen, run, out)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, own, strict=True)), *(f.name for f in more))
 
 
 def _without(data: np.ndarray, offs: np.ndarray, words: Words, d: int, spans: list[tuple[int, int]]) -> str:

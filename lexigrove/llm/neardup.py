@@ -499,9 +499,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
 
 
 def dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, of several the one of the least text. Rows without
-    an id stay."""
-    kept = near_duplicates(docs, shingle, threshold, doc_id, text).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.filter(F.col(f"`{doc_id}`").isNotNull()).join(kept, F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(F.col(f"`{text}`")))
-    return one.withColumn("__turn", turn).filter("__turn = 1").drop("__turn").unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    """``docs`` with one row of each class: that of the smallest id. Different texts under that id all stay, so that none is
+    lost with its copies; rows that repeat id and text stay once. Rows without an id stay. Columns may have any name."""
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)))
+    i, x = own[docs.columns.index(doc_id)], own[docs.columns.index(text)]
+    kept = near_duplicates(inner, shingle, threshold, i, x).filter("kept").select(F.col("doc_id").alias("kept")).distinct()
+    one = inner.filter(F.col(i).isNotNull()).join(kept, F.col(i) == F.col("kept"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(i, x).orderBy(F.lit(0)))
+    rows = one.withColumn("turn", turn).filter("turn = 1").drop("turn").unionByName(inner.filter(F.col(i).isNull()))
+    return rows.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,6 @@ from lexigrove.llm.common import NON_SPACE, Words, arrow_map, carried, mix64, re
 
 WINDOW, GRAM = 35, 6
 HOT = 1024
-#: Windows that a bucket sorts word by word (28 MB); a longer one sorts 128-bit keys.
-EXACT_ROWS = 200_000
 _MUL = np.uint64(0xA24BAED4963EE407)
 _INV = np.uint64(pow(0xA24BAED4963EE407, -1, 1 << 64))
 
@@ -138,12 +136,9 @@ def _in_bucket(group: list[tuple[int, int, str]], window: int) -> Iterator[tuple
         weights.append(np.full(len(rows), seen))
         owners.append(np.full(len(rows), k))
         offsets.append(np.arange(len(rows)))
-    if sum(map(len, parts)) <= EXACT_ROWS:
-        rows = np.ascontiguousarray(np.concatenate(parts)).view(f"V{4 * window}").ravel()
-    else:
-        # Too many to lay out word by word: two independent 64-bit keys a window.
-        keys = [np.concatenate([_folded(x, mul) for x in parts]) for mul in (_MUL, _INV)]
-        rows = np.stack(keys, axis=1).view("V16").ravel()
+    # Two independent 64-bit keys a window, whatever the size of the bucket.
+    keys = [np.concatenate([_folded(x, mul) for x in parts]) for mul in (_MUL, _INV)]
+    rows = np.stack(keys, axis=1).view("V16").ravel()
     owners, offsets = np.concatenate(owners), np.concatenate(offsets)
     _, which = np.unique(rows, return_inverse=True)
     twice = np.bincount(which, np.concatenate(weights))[which] > 1
@@ -218,6 +213,17 @@ def _kept(joined: DataFrame, out: T.StructType, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep`` columns (default all), ``n_words``, ``n_removed`` and ``kept_text``: the words left, one space between."""
     spark = docs.sparkSession
+    # Columns travel under names of their own, so that none can clash or hold dots.
+    names = carried(docs, keep, ["n_words", "n_removed", "kept_text"])
+    own = [f"c{k}" for k in range(len(names))]
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(names, own, strict=True)), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = _removed(spark, docs, window, own)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(names, own, strict=True)), "n_words", "n_removed", "kept_text")
+
+
+def _removed(spark: SparkSession, docs: DataFrame, window: int, kept: list[str]) -> DataFrame:
+    """``kept`` columns and what ``remove_repeats`` adds, of documents (…, doc_id, text)."""
+    doc_id, text = "doc_id", "text"
     keyed = _keyed(docs, doc_id, text)
     runs = staged(_runs(keyed, text, window), "runs")
     kinds = runs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("seen"), F.min("r1").alias("r1"), F.max("again").alias("again"))
@@ -239,7 +245,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     spans = runs.join(marks, ["m", "c"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("__spans"))
     spans = staged(spans, "spans")
     release(spark)
-    kept = carried(docs, keep, ["n_words", "n_removed", "kept_text"])
     joined = keyed.join(spans, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2")), "left")
     joined = joined.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"), "__spans")
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> list:
-    """(toxic, least word-pair hash, distinct feature hashes) of the fitting rows."""
+    """(toxic, hash of all words, distinct feature hashes) of the fitting rows; texts of the same words count once."""
     rows = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y is not null")
     rows = rows.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
 
@@ -91,18 +92,17 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
             for lo, hi, data, offs in text_steps(batch.column(1)):
                 words = Words(data, offs, ALNUM_RAW)
                 kinds = features(words)
-                pair = mix64(kinds[0] * np.uint64(3) + np.roll(kinds[0], -1))
-                out, least = [], []
+                out, whole = [], []
                 for d in range(hi - lo):
                     a, b = int(words.bound[d]), int(words.bound[d + 1])
                     out.append(np.unique(np.concatenate([k[a:b] for k in kinds])).view(np.int64))
-                    least.append(int(pair[a : max(a + 1, b - 1)].view(np.int64).min()) if b > a else 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(least, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["y", "least", "found"])
+                    whole.append(int.from_bytes(xxhash.xxh3_64_digest(kinds[0][a:b].tobytes()), "big", signed=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(whole, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["y", "whole", "found"])
 
     # FIT_ROWS rows of two numbers: small enough to broadcast at any scale.
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(rows), "id").select("y", "text")
-    made = arrow_map(texts, run, "y int, least long, found array<long>").groupBy("y", "least").agg(F.max("found").alias("found"))
-    return sorted(((r.y, r.least, r.found) for r in _packed(made).toLocalIterator()), key=lambda r: (r[0], r[1]))
+    made = arrow_map(texts, run, "y int, whole long, found array<long>").groupBy("y", "whole").agg(F.max("found").alias("found"))
+    return sorted(((r.y, r.whole, r.found) for r in _packed(made).toLocalIterator()), key=lambda r: (r[0], r[1]))
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -111,9 +111,9 @@ def _packed(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [np.asarray(x.values, np.int64).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["y", "least", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["y", "whole", "found"])
 
-    return arrow_map(df, run, "y int, least long, found binary")
+    return arrow_map(df, run, "y int, whole long, found binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -200,9 +200,10 @@ def classifier(votes: np.ndarray, posterior: np.ndarray) -> tuple[np.ndarray, fl
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``keep`` columns (default all) and ``score``, the probability of being toxic."""
     kept = carried(docs, keep, ["score"])
-    chosen = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
+    own = [f"c{k}" for k in range(len(kept))]
+    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, own, strict=True)), F.col(f"`{text}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # VOTERS weights
-    schema = chosen.drop("__text").schema.add("score", "double")
+    schema = chosen.drop("text").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,4 +211,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: st
                 s = shared.value.scores(Words(data, offs, ALNUM_RAW))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(s, pa.float64())], names=schema.names)
 
-    return arrow_map(chosen, run, schema)
+    found = arrow_map(chosen, run, schema)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(kept, own, strict=True)), "score")

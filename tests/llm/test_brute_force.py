@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.llm import decontaminate, neardup, quality, substrings
+from lexigrove.llm import decontaminate, neardup, quality, substrings, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -147,11 +147,26 @@ def test_repeated_rows_lose_their_text(spark, docs, no_docs):
     assert substrings.remove_repeats(no_docs.drop("n_words")).count() == 0
 
 
-def test_wide_buckets_use_keys(docs, texts, monkeypatch):
-    group = [(k, 1, " ".join(f"w{(i * i) % 5}" for i in range(k, k + 60))) for k in range(4)]
-    want = sorted(substrings._in_bucket(group, 6))
-    monkeypatch.setattr(substrings, "EXACT_ROWS", 0)
-    assert sorted(substrings._in_bucket(group, 6)) == want
+def test_buckets_count_windows_by_their_words():
+    group = [(k, 1, " ".join(f"w{(i * i) % 5}" for i in range(k, k + 60))) for k in range(4)] + [(9, 1, " ".join(f"x{i}" for i in range(50)))]
+    seen = collections.Counter(tuple(t.split(" ")[i : i + 6]) for *_, t in group for i in range(len(t.split(" ")) - 5))
+    want = {k: [i for i in range(len(t.split(" ")) - 5) if seen[tuple(t.split(" ")[i : i + 6])] > 1] for k, _, t in group}
+    assert {c: sorted(offsets) for c, offsets in substrings._in_bucket(group, 6)} == {k: v for k, v in want.items() if v}
+
+
+def test_columns_of_any_name(spark):
+    names = ["__r1", "__kept", "__text", "__own0", "te.xt", "kept", "turn", "c0", "doc_id2"]
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (None, "a b c d e f"), (3, None)]
+    df = spark.createDataFrame([(*r, *"abcdefghi") for r in rows], "doc_id long, `bo.dy` string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = neardup.dedup(df, 2, 0.8, text="bo.dy")
+    assert kept.columns == df.columns
+    assert {r[1] for r in kept.collect()} == {"a b c d e f", "q r s t u v", None}  # no text is lost
+    assert substrings.remove_repeats(df, 5, text="bo.dy").columns == [*df.columns, "n_words", "n_removed", "kept_text"]
+    assert substrings.clean(df, 5, text="bo.dy").count() == 5
+    toxic = toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"), text="bo.dy"), text="bo.dy")
+    assert toxic.columns == [*df.columns, "score"] and toxic.count() == 5
+    items = spark.createDataFrame([("i", "q r s t u v")], "item_id string, text string")
+    assert decontaminate.find_spans(df, items, df.columns, text="bo.dy").filter("size(items) > 0").count() == 2
 
 
 # ---------------------------------------------------------------- decontamination
