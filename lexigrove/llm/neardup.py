@@ -474,6 +474,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
     def join_classes(candidates: DataFrame) -> DataFrame:
         nonlocal at
         pairs = staged(_estimated(candidates, sets, t), "pairs")
+        if at is not None and not pairs.limit(1).count():
+            return pairs  # nothing that could change a class
         compared = staged(_compared(pairs, texts, shingle, t), "compared")
         links = compared.filter("linked").select("a", "b")
         if at is not None:
