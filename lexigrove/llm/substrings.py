@@ -17,6 +17,7 @@ Very long texts are one array step each. Other columns pass through; an empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +119,9 @@ def _packed(texts: DataFrame, window: int) -> DataFrame:
     return arrow_map(texts, run, "m long, c long, seen long, kinds long, words string")
 
 
-def _folded(rows: np.ndarray, mul: np.uint64) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = mix64(out * mul + rows[:, k].astype(np.uint64))
-    return out
+@cache
+def _factors(window: int) -> np.ndarray:
+    return np.random.default_rng(window).integers(0, 1 << 64, (window, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def _in_bucket(group: list[tuple[int, int, str]], window: int) -> Iterator[tuple[int, list[int]]]:
@@ -131,14 +130,15 @@ def _in_bucket(group: list[tuple[int, int, str]], window: int) -> Iterator[tuple
     parts, weights, owners, offsets = [], [], [], []
     for k, (_, seen, text) in enumerate(group):
         w = np.array([ids.setdefault(x, len(ids)) for x in text.split(" ")], np.int32)
-        rows = np.lib.stride_tricks.sliding_window_view(w, window)
-        parts.append(rows)
-        weights.append(np.full(len(rows), seen))
-        owners.append(np.full(len(rows), k))
-        offsets.append(np.arange(len(rows)))
-    # Two independent 64-bit keys a window, whatever the size of the bucket.
-    keys = [np.concatenate([_folded(x, mul) for x in parts]) for mul in (_MUL, _INV)]
-    rows = np.stack(keys, axis=1).view("V16").ravel()
+        n = len(w) - window + 1
+        parts.append(w)
+        weights.append(np.full(n, seen))
+        owners.append(np.full(n, k))
+        offsets.append(np.arange(n))
+    # Two independent 64-bit keys a window, whatever the size of the bucket: sums of mixed words times odd factors by place.
+    mixed, factors = mix64(np.arange(1, len(ids) + 1, dtype=np.uint64)), _factors(window)
+    keys = [np.lib.stride_tricks.sliding_window_view(mixed[w], window) @ factors for w in parts]
+    rows = np.ascontiguousarray(np.concatenate(keys)).view("V16").ravel()
     owners, offsets = np.concatenate(owners), np.concatenate(offsets)
     _, which = np.unique(rows, return_inverse=True)
     twice = np.bincount(which, np.concatenate(weights))[which] > 1
