@@ -260,6 +260,18 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
+def _widened(at: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes ``at`` joined by links between them: only classes that a new link touches are worked on."""
+    ends = links
+    for c in "ab":
+        named = at.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))
+        ends = ends.join(named, c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    joined = components(ends.filter("a <> b").distinct()).withColumnRenamed("root", "to")
+    moved = at.join(joined.select(F.col("rep").alias("root"), "to"), "root", "left").select("rep", F.coalesce("to", "root").alias("root"))
+    alone = joined.join(at, "rep", "left_anti").select("rep", F.col("to").alias("root"))
+    return staged(moved.union(alone), "classes")
+
+
 def _homes(first: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, home, shares): of a set and those it was compared with, the one in most comparisons, and the overlap."""
     ends = first.select(F.col("a").alias("rep"), F.col("b").alias("home"), "both").union(first.select("b", "a", "both"))
@@ -478,18 +490,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, d
             return pairs  # nothing that could change a class
         compared = staged(_compared(pairs, texts, shingle, t), "compared")
         links = compared.filter("linked").select("a", "b")
-        if at is not None:
-            links = links.union(at.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
-        at = components(links)
+        if at is None:
+            at = components(links)
+        elif links.limit(1).count():
+            at = _widened(at, links)
         release(docs.sparkSession)
         return compared
 
     homes = staged(_homes(join_classes(_spokes(base, compound, at, t, 0)), sets), "homes")
     for turn in range(1, ROUNDS):
         join_classes(_spokes(base, compound, at, t, turn))
-    join_classes(_paired(base, compound, homes, at, t))
     lacks = _lacks(homes, at, texts, shingle)
-    join_classes(_side_by_side(lacks, at, sets, t))
+    # Pairs of different homes and pairs of one home: no pair is in both.
+    join_classes(_paired(base, compound, homes, at, t).union(_side_by_side(lacks, at, sets, t)))
     members = compound.filter(F.col("c") > MEDIUM).select("rep", "x", "y")
     join_classes(_rest(members, at, sets, homes, lacks, texts, shingle, t))
     classes = named.join(at, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
