@@ -170,4 +170,15 @@ select lang, term, round(s, 6) as score, (row_number() over (partition by lang o
     "q60_cluster_problems": "select doc_id, case doc_id % 5 when 0 then 'no object' when 2 then 'name' when 3 then 'description' when 4 then 'no object' end as problem from documents",
     "q61_first_rows": "select doc_id, source from documents order by doc_id limit 20",
     "q62_merged_or_given": "select conv_id * 100 + turn as id, case when conv_id % 2 = 0 then case when role = 'm' then 'm' else 'm|' || role end else 'a|' || role end as labels from conversations",
+    "q64_topic_generation": """with o as (select length(text) // 1000 as k, row_number() over (order by md5('0:' || doc_id), doc_id::varchar, text) - 1 as r from documents where text is not null),
+f as (select *, min(r) over (partition by k) = r as fresh from o), g as (select *, r - coalesce(max(case when fresh then r end) over (order by r), -1) as quiet from f),
+stop as (select coalesce(min(r), 9000000000000000000) as s from g where quiet >= 200)
+select 'Length ' || k as topic, 'texts of ' || k || ' thousand characters' as description, count(*) as n, min(r)::bigint as first from g, stop where r <= s group by k""",
+    "q65_refined_topics": """with t as (select length(text) // 1000 as k, doc_id from documents where text is not null), p as (select k - k % 3 as k, count(*) as n, min(doc_id) as first from t group by 1)
+select 'Length ' || k as topic, n, first from p where n >= 0.01::double * (select sum(n) from p)""",
+    "q66_topic_correction": """with t as (select list(distinct 'T' || (doc_id % 5)) as names from documents),
+a as (select doc_id, case when doc_id % 6 = 0 then 'Error' when doc_id % 11 = 0 then 'no line' else '[1] T' || (doc_id % 7) || ': why' end as r from documents),
+f as (select *, r in ('Error', 'no line') or not list_contains(names, 'T' || (doc_id % 7)) as bad from a, t),
+c as (select doc_id, names, case when bad and doc_id % 3 <> 1 and doc_id % 2 = 0 then '[1] T0: why' else r end as response from f)
+select doc_id, response, response in ('Error', 'no line') as error, response not in ('Error', 'no line') and not list_contains(names, regexp_extract(response, 'T[0-9]+')) as hallucinated from c""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import agreement_label, doc_id_format, preview, token_cap
-from lexigrove.operators import agreement, annotate, audits, corpus, density, evaluation, methods, sampling, taxonomy, tfidf, topics
+from lexigrove.operators import agreement, annotate, audits, corpus, density, evaluation, methods, sampling, taxonomy, tfidf, topicgen, topics
 from lexigrove.session import shared_folder
 
 PROPOSALS = (("p1", "lang", 0), ("p2", "source", 1), ("p3", "concat('b', cast(n_chars div 1000 as string))", 2))
@@ -500,4 +500,41 @@ def q63_topic_words(spark, d):
     return rounded(methods.topic_words(table(spark, d, "documents").select("doc_id", "text"), 5), "weight")
 
 
+# ---------------------------------------------------------------- topics by a provider
+
+
+def _length_topic(asked: list[str]) -> list[str]:
+    """A provider without a model: a text's topic is its length in thousands."""
+    sizes = [len(p.partition("\nText:\n")[2]) // 1000 for p in asked]
+    return [f"[1] Length {k}: texts of {k} thousand characters" for k in sizes]
+
+
+def q64_topic_generation(spark, d):
+    root = f"{shared_folder(spark)}/generation-{uuid.uuid4().hex}"
+    made = topicgen.TopicGeneration(spark, root, "Topics:\n{Topics}\nText:\n{Document}", _length_topic, early_stop=200, size=500)
+    made.run(table(spark, d, "documents"))
+    return made.topics()
+
+
+def q65_refined_topics(spark, d):
+    k = F.floor(F.length("text") / 1000)
+    rows = table(spark, d, "documents").filter("text is not null").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    every = rows.agg(F.max("k").alias("most")).select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("k"))
+    name = lambda x: F.concat(F.lit("Length "), x.cast("string"))
+    merges = every.filter("k % 3 <> 0").select(name(F.col("k")).alias("old"), name(F.col("k") - 1).alias("new"), F.lit("merged").alias("description"))
+    kept, _ = topicgen.refined(rows.select(name(F.col("k")).alias("topic"), F.lit("own").alias("description"), "n", "first"), merges, 0.01)
+    return kept.select("topic", "n", "first")
+
+
+def q66_topic_correction(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    i, cid = F.col("doc_id"), F.col("doc_id").cast("string").alias("custom_id")
+    named = lambda x: F.concat(F.lit("[1] T"), x.cast("string"), F.lit(": why"))
+    known = docs.select(F.concat(F.lit("T"), (i % 5).cast("string")).alias("topic")).distinct()
+    said = docs.filter("doc_id % 6 <> 0").select(cid, F.when(i % 11 == 0, "no line").otherwise(named(i % 7)).alias("response"))
+    rows = topicgen.to_correct(topicgen.assigned(docs, said), known)
+    again = rows.filter("error or hallucinated").filter("doc_id % 3 <> 1").select(cid, F.when(i % 2 == 0, named(i % 2)).otherwise(topicgen.ERROR).alias("response"))
+    return topicgen.to_correct(topicgen.corrected(rows.drop("error", "hallucinated"), again), known)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
