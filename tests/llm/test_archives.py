@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,6 +105,35 @@ def test_shards_of_a_host_share_runs(spark, monkeypatch):
     assert {r.page_id: r.text for r in pages.main_text(df).collect()} == {i: f"own words of page {i}" for i in range(60)}
 
 
+NOTICE = "sign up for the weekly letter and read what others missed"
+
+
+def _page(i: int, *blocks: str) -> tuple[int, str, str]:
+    return i, f"http://h/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 150])
+def test_notice_inside_articles(spark, monkeypatch, tokens):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    quote = "two of these articles quote the same ten words here"
+    rows = [_page(i, own(i), NOTICE if i % 3 else f"{own(-i - 1)} {NOTICE}", *([quote] if i in (3, 4) else []), f"end {i}") for i in range(20)]
+    # The first page once more, and a host whose articles are versions of one text.
+    rows += rows[:1] + [(100 + i, f"http://v/{i}", _page(0, f"version {i}", own(7), own(8))[2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(pages, "SHARD_TOKENS", tokens)
+    got = sorted((r.page_id, r.text) for r in pages.main_text(df).collect())
+    want = [(i, "\n\n".join([own(i), *([] if i % 3 else [own(-i - 1)]), *([quote] if i in (3, 4) else []), f"end {i}"])) for i in [0, *range(20)]]
+    assert got == want + [(100 + i, f"version {i}\n\n{own(7)}\n\n{own(8)}") for i in range(8)]
+
+
+def test_spread_runs_equal_brute_force():
+    rng = np.random.default_rng(8)
+    streams = [rng.integers(1, 4, n).astype(np.uint64) for n in (40, 0, 3, 60, 25, 5)]
+    holders = Counter(int(f) for s in streams for f in np.unique(pages.fingerprints(s, 5)))
+    for least in (1, 2, 3, 4):
+        assert sorted(pages.spread_runs(streams, least, 5).tolist()) == sorted(f for f, n in holders.items() if n >= least)
+
+
 def test_shared_tokens_equal_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(1, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(6)]
