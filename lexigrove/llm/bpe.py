@@ -36,8 +36,12 @@ from pyspark.sql import types as T
 
 from lexigrove.llm.common import arrow_map, carried, mix64, spread, text_steps
 
-#: Merged pre-tokens remembered in a worker (about 120 MB); beyond, it starts anew.
-CACHE_TOKENS = 600_000
+#: Slots for merged pre-tokens that a worker remembers and ids held for them (about 35 MB); full, it starts anew.
+CACHE_SLOTS, CACHE_IDS = 1 << 20, 1 << 22
+#: The same for pre-tokens that are no two integers.
+CACHE_TOKENS = 20_000
+#: Bytes of text that are encoded at a time, so that the arrays stay small.
+RUN_BYTES = 1 << 18
 #: Bytes of one text that are encoded at a time.
 STRETCH = 8 << 20
 #: Fixed value: the pattern that is cut without a regular expression.
@@ -189,6 +193,50 @@ class PerfectHash:
         return at if self.slots[at] == key else -1
 
 
+class Merged:
+    """Ids of merged pre-tokens of at most ``WIDE`` bytes. Each may lie in two slots; in the second it takes another's place."""
+
+    def __init__(self):
+        self.k0, self.k1 = np.zeros(CACHE_SLOTS, np.uint64), np.zeros(CACHE_SLOTS, np.uint64)
+        self.size, self.count = np.zeros(CACHE_SLOTS, np.uint8), np.zeros(CACHE_SLOTS, np.uint8)
+        self.begin, self.ids, self.held = np.zeros(CACHE_SLOTS, np.int32), np.zeros(CACHE_IDS, np.uint32), 0
+
+    @staticmethod
+    def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h % np.uint64(CACHE_SLOTS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(CACHE_SLOTS)).astype(np.int64)
+
+    def find(self, h: np.ndarray, k0: np.ndarray, k1: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which are known, the ids that each of those has, all of those ids)."""
+        at, other = self._slots(h)
+        known = (self.k0[at] == k0) & (self.k1[at] == k1) & (self.size[at] == size)
+        miss = np.flatnonzero(~known)
+        at[miss] = x = other[miss]
+        known[miss] = (self.k0[x] == k0[miss]) & (self.k1[x] == k1[miss]) & (self.size[x] == size[miss])
+        at = at[known]
+        counts = self.count[at].astype(np.int64)
+        return known, counts, self.ids[spread(self.begin[at].astype(np.int64), counts)]
+
+    def add(self, h: np.ndarray, k0: np.ndarray, k1: np.ndarray, size: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        if self.held + len(ids) > CACHE_IDS:
+            self.size[:] = 0
+            self.held = 0
+        if len(ids) > CACHE_IDS:
+            return
+        begin = self.held + np.cumsum(counts) - counts
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
+        left = np.arange(len(h))
+        for turn, at in enumerate(self._slots(h)):
+            slots = at[left]
+            # One of those that share a slot stays in all of its arrays.
+            slots, one = np.unique(slots, return_index=True)
+            free = slots >= 0 if turn else self.size[slots] == 0
+            slots, some = slots[free], left[one[free]]
+            self.k0[slots], self.k1[slots], self.size[slots] = k0[some], k1[some], size[some]
+            self.count[slots], self.begin[slots] = counts[some], begin[some]
+            left = np.delete(left, one[free])
+
+
 class ByteBPE:
     """An encoder and decoder of runs of texts."""
 
@@ -204,13 +252,15 @@ class ByteBPE:
         self.piece_size = np.array([len(x) for x in self.piece], np.int64)
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
         self.pieces = np.frombuffer(b"".join(self.piece), np.uint8)
+        self.byte = [self.ranks[bytes((b,))] for b in range(256)]
         self.known: dict[bytes, bytes] = {}
+        self.short = Merged()
         self.two = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int32)
 
     def _one(self, raw: bytes, pairs: np.ndarray) -> bytes:
         out = self.known.get(raw)
         if out is None:
-            at = self.hash.find(raw) if len(raw) > WIDE else -1
+            at = self.hash.find(raw)
             out = array("I", [int(self.ids[at])] if at >= 0 else self.merged(raw, pairs.tolist())).tobytes()
             if len(self.known) >= CACHE_TOKENS:
                 self.known.clear()
@@ -224,12 +274,12 @@ class ByteBPE:
 
         A heap entry is rank and start in one integer; it is stale unless ``pair[start]`` still is that rank.
         """
-        n, rank, ranks = len(raw), self.ranks.get, self.ranks
+        n, rank = len(raw), self.ranks.get
         if n == 1:
-            return [ranks[raw]]
+            return [self.ranks[raw]]
         bits = n.bit_length()
         mask = (1 << bits) - 1
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        end, before, piece = list(range(1, n + 1)), list(range(-1, n - 1)), list(map(self.byte.__getitem__, raw))
         end.append(n)
         heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         pair.append(-1)
@@ -241,6 +291,7 @@ class ByteBPE:
                 continue
             j = end[i]
             stop = end[i] = end[j]
+            piece[i] = e >> bits
             pair[j] = -1
             if stop < n:
                 before[stop] = i
@@ -256,9 +307,8 @@ class ByteBPE:
                     heappush(heap, r << bits | k)
         out, i = [], 0
         while i < n:
-            j = end[i]
-            out.append(ranks[raw[i:j]])
-            i = j
+            out.append(piece[i])
+            i = end[i]
         return out
 
     def _starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -282,19 +332,28 @@ class ByteBPE:
         at = self.hash.find_all(kind_h, k0[first], k1[first], size[first])
         at[size[first] > WIDE] = -1
         miss = np.flatnonzero((at < 0) & (size[first] <= WIDE))
+        parts = [x[miss] for x in (kind_h, k0[first], k1[first], size[first])]
+        known, counts_known, ids_known = self.short.find(*parts)
+        new = miss[~known]
         whole, pairs = data.tobytes(), self.two[data[:-1].astype(np.int32) << 8 | data[1:]]
+
+        def merges(some: np.ndarray, of: Callable) -> tuple[np.ndarray, np.ndarray]:
+            found = [of(whole[a:b], pairs[a : b - 1]) for a, b in zip(starts[some].tolist(), (starts[some] + size[some]).tolist(), strict=True)]
+            return np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), np.uint32)
+
+        counts_new, ids_new = merges(first[new], lambda raw, pair: array("I", self.merged(raw, pair.tolist())).tobytes())
+        self.short.add(*(x[~known] for x in parts), counts_new, ids_new)
         # Long ones, and those whose hash another one has, are kinds of their own.
-        some = np.concatenate((first[miss], odd))
-        found = [self._one(whole[a:b], pairs[a : b - 1]) for a, b in zip(starts[some].tolist(), (starts[some] + size[some]).tolist(), strict=True)]
+        counts_odd, ids_odd = merges(odd, self._one)
         kind[odd] = len(kind_h) + np.arange(len(odd))
         counts = np.ones(len(kind_h) + len(odd), np.int64)
-        some = np.concatenate((miss, len(kind_h) + np.arange(len(odd))))
-        counts[some] = [len(x) // 4 for x in found]
+        some = np.concatenate((miss[known], new, len(kind_h) + np.arange(len(odd))))
+        counts[some] = np.concatenate((counts_known, counts_new, counts_odd))
         begin = np.cumsum(counts) - counts
         ids = np.empty(int(counts.sum()), np.uint32)
         hit = np.flatnonzero(at >= 0)
         ids[begin[hit]] = self.ids[at[hit]]
-        ids[spread(begin[some], counts[some])] = np.frombuffer(b"".join(found), np.uint32)
+        ids[spread(begin[some], counts[some])] = np.concatenate((ids_known, ids_new, ids_odd))
         return kind, counts, ids, np.searchsorted(starts, offs)
 
     def _stretches(self, data: np.ndarray) -> list[np.ndarray]:
@@ -357,7 +416,7 @@ def _mapped(df: DataFrame, column: str, keep: list[str] | None, added: list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_steps(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, offs in text_steps(batch.column(batch.num_columns - 1), RUN_BYTES):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], *made(data, offs)], names=out.names)
 
     return arrow_map(chosen, run, out).select(*(F.col(n).alias(k) for n, k in zip(own, kept, strict=True)), *names)
@@ -402,6 +461,21 @@ def count_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", kee
     return _mapped(df, text, keep, [("n_tokens", T.LongType())], made)
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` with ``lossless``: whether the ids decode to the text's bytes. One worker does both, so a task holds one
+    vocabulary and the text does not travel back."""
+
+    def made(data, offs):
+        bpe = loaded(path, pattern)
+        ids, bound = bpe.encode_all(data, offs)
+        back, at = bpe.decode_all(ids)
+        at = at[bound]
+        same = [np.array_equal(back[a:b], data[x:y]) for a, b, x, y in zip(at[:-1].tolist(), at[1:].tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return _binary(ids.astype("<u4", copy=False), bound), pa.array(np.diff(bound), pa.int64()), pa.array(same, pa.bool_())
+
+    return _mapped(df, text, keep, [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("lossless", T.BooleanType())], made)
+
+
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all), ``n_tokens`` and the SHA-256 of the ids and of what they decode to.
 

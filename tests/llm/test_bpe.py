@@ -7,6 +7,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,36 @@ def test_columns(docs, no_docs, texts, library):
     assert both.columns == ["doc_id", "text", "n_words", "lang", "ids", "n_tokens", "decoded"]
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in both.collect())
     assert bpe.encode(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_merged_cache_keeps_what_it_says(monkeypatch):
+    # Few slots: pre-tokens take each other's places, and the ids held run over.
+    monkeypatch.setattr(bpe, "CACHE_SLOTS", 8)
+    monkeypatch.setattr(bpe, "CACHE_IDS", 64)
+    own, enc = bpe.ByteBPE(PATH, PATTERN), bpe.loaded(PATH, PATTERN)
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("qxzvjkü"), rng.integers(2, 9))) for _ in range(5)) for _ in range(30)]
+    for text in texts + texts:
+        assert own.decode(own.encode(text)) == text.encode()
+        assert own.encode(text) == array("I", [i for w in regex.findall(PATTERN, text) for i in whole(enc, w.encode())]).tobytes()
+    assert (own.short.size > 0).any() and own.short.held <= 64
+
+
+def whole(code: bpe.ByteBPE, raw: bytes) -> list[int]:
+    """By definition: the leftmost pair of lowest rank, until none is a token."""
+    if raw in code.ranks:
+        return [code.ranks[raw]]
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while pairs := [(code.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in code.ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [code.ranks[x] for x in parts]
+
+
+def test_encode_checked(spark):
+    docs = spark.createDataFrame([(1, "some words  here"), (2, None), (3, ""), (4, "é" * 9)], "doc_id long, text string")
+    want = {r.doc_id: (bytes(r.ids), r.n_tokens) for r in bpe.encode(docs, PATH, PATTERN).collect()}
+    rows = bpe.encode_checked(docs, PATH, PATTERN, keep=["doc_id"])
+    assert {r.doc_id: (bytes(r.ids), r.n_tokens) for r in rows.collect()} == want and rows.filter("lossless").count() == 4
+    # One worker a task.
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
