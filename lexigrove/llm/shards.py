@@ -3,7 +3,7 @@
 Documents' ids are packed, one after another with a separator, into sequences of equal length; each input partition
 pads its last one. Sequences are numbered through by partition totals (a native sum first), and a keyed Feistel network
 with cycle-walking maps the numbers onto global slots one to one: a permutation that needs no sort, no state and no
-collected list, and that can be inverted. A shard is a range of slots. Each shard is written in slot order under a
+collected list, and that can be inverted. Sequences are compressed one by one on their way to a shard's task. A shard is a range of slots. Each shard is written in slot order under a
 temporary name and renamed, so a task that runs again writes the same bytes; slot s lies at byte (s mod per_shard) *
 stride of shard s div per_shard, so a reader resumes anywhere by seeking.
 
@@ -112,14 +112,14 @@ def write(df: DataFrame, ids: str, width: int, separator: int, length: int = 204
     mark = separator.to_bytes(width, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
+        p, codec = TaskContext.get().partitionId(), pa.Codec("zstd", 3)
         at, seen, order, held = firsts.get(p, 0), 0, Feistel(total, key), bytearray()
 
         def made(n: int) -> pa.RecordBatch:
             nonlocal at
             number = np.arange(at, at + n)
             slot, at = order.slot(number), at + n
-            body = [bytes(held[k * stride : (k + 1) * stride]) for k in range(n)]
+            body = [codec.compress(memoryview(held)[k * stride : (k + 1) * stride], asbytes=True) for k in range(n)]
             del held[: n * stride]
             return pa.RecordBatch.from_arrays([pa.array(slot // layout.per_shard, pa.int32()), pa.array(slot), pa.array(number), pa.array(body, pa.binary())], names=["shard", "slot", "number", "body"])
 
@@ -141,7 +141,7 @@ def write(df: DataFrame, ids: str, width: int, separator: int, length: int = 204
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(root)
-        at, out, temporary = None, None, ""
+        at, out, temporary, codec = None, None, "", pa.Codec("zstd")
 
         def close() -> None:
             if out is not None:
@@ -162,7 +162,7 @@ def write(df: DataFrame, ids: str, width: int, separator: int, length: int = 204
                 if slot != due:
                     raise RuntimeError(f"slot {due} is missing")
                 due += 1
-                data = body.as_buffer()
+                data = codec.decompress(body.as_buffer(), stride)
                 out.write(data)
                 crcs.append(zlib.crc32(data))
             slots = batch.column(1).to_numpy()

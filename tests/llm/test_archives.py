@@ -220,6 +220,16 @@ def test_toxicity_of_few_rows_and_conflicting_labels(spark):
     assert (model.voters == back.voters).all() and np.allclose(model.weights, back.weights)
 
 
+def test_sequences_travel_compressed(spark, monkeypatch):
+    made, run = [], shards.arrow_map
+    monkeypatch.setattr(shards, "arrow_map", lambda *x: made.append(run(*x)) or made[-1])
+    df = staged(spark.createDataFrame([(b"ab" * 5000,)] * 3, "ids binary"), "ids")
+    root, rows = shards.write(df, "ids", 2, 255, length=1024)
+    n = rows.count()
+    assert made[0].selectExpr("max(length(body)) n").first().n < 1024
+    assert [len(x) for x in shards.read(root)] == [1024] * n
+
+
 def test_query_shards_token_ids(spark, sf_dir, monkeypatch):
     import public_tokenizers
 
