@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from lexigrove.llm.common import arrow_map, carried, mix64, spread, text_steps
 
-#: Slots for merged pre-tokens that a worker remembers and ids held for them (about 35 MB); full, it starts anew.
+#: Slots for merged pre-tokens that a worker remembers and ids held for them (40 MB by their sizes); full, it starts anew.
 CACHE_SLOTS, CACHE_IDS = 1 << 20, 1 << 22
 #: The same for pre-tokens that are no two integers.
 CACHE_TOKENS = 20_000
