@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,32 +15,84 @@ from lexigrove.functions import tokens
 from lexigrove.operators.blocks import matrix, named, nearest, numbered, sound
 from lexigrove.operators.evaluation import centroids
 from lexigrove.operators.ordered import running
-from lexigrove.operators.summed import drawn_starts, fit_topics, lloyd, topic_of
+from lexigrove.operators.summed import drawn_starts, fit_topics, lloyd, narrow, topic_of, widened
 from lexigrove.operators.tfidf import STOP_WORDS
 from lexigrove.operators.topics import merge_order
-from lexigrove.scratch import arrow_map, staged
+from lexigrove.scratch import arrow_map, kept, staged
+
+
+#: Texts of a packed row of words.
+PACKED_TEXTS = 4096
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """The words of each row's text but for stop words, each once, and how often they come, ``PACKED_TEXTS`` rows as one.
+
+    (ids, size: how many words each has, code: their places in ``t``, n, t: all words of these texts, df: in how many of
+    them, total); size, code and n are bytes of ``narrow``.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(STOP_WORDS)
+        for b in batches:
+            for lo in range(0, b.num_rows, PACKED_TEXTS):
+                part = b.slice(lo, PACKED_TEXTS)
+                lists = part.column("w")
+                coded = lists.flatten().dictionary_encode()
+                some = max(len(coded.dictionary), 1)
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                both, n = np.unique(owner * some + coded.indices.to_numpy(), return_counts=True)
+                owner, code = np.divmod(both, some)
+                ok = ~pc.is_in(coded.dictionary, value_set=stop).to_numpy(zero_copy_only=False)
+                place = np.cumsum(ok) - 1
+                held = ok[code]
+                owner, code, n = owner[held], place[code[held]], n[held]
+                df, total = np.bincount(code, minlength=int(ok.sum())), np.bincount(code, weights=n, minlength=int(ok.sum())).astype(np.int64)
+                bytes_ = [pa.array([narrow(x)], pa.binary()) for x in (np.bincount(owner, minlength=len(lists)), code, n)]
+                one = [_lists(np.zeros(len(x), int), 1, x)[0] for x in (part.column("doc_id"), coded.dictionary.filter(pa.array(ok)), pa.array(df), pa.array(total))]
+                yield pa.RecordBatch.from_arrays([one[0], *bytes_, *one[1:]], ["ids", "size", "code", "n", "t", "df", "total"])
+
+    schema = f"ids array<{kind}>, size binary, code binary, n binary, t array<string>, df array<bigint>, total array<bigint>"
+    return arrow_map(docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w")), run, schema)
+
+
+def _lists(owner: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
+    """``values``, whose rows are ``owner`` in order, as a list a row."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, v) for v in values]
 
 
 def counted(docs: DataFrame, vocabulary: int = 10_000, least: int = 2, share: float = 0.95) -> tuple[DataFrame, list[str]]:
     """((doc_id, term, n): the known terms of each text and how often they come, terms in order).
 
     Terms are in at least ``least`` texts (1 if that leaves none) and in no more than ``share`` of them, the ``vocabulary``
-    most frequent; stop words are left out. Texts without terms have empty lists.
+    most frequent; stop words are left out. Texts without terms have empty lists. Each row is a text of its own.
     """
-    held = staged(docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w")), "topic_words")
-    n = held.count()
-    each = staged(held.select("doc_id", F.explode("w").alias("t")).filter(~F.col("t").isin(STOP_WORDS)).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "topic_counts")
-    seen = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    each, drop = kept(word_counts(docs), "topic_counts")
+    n = each.agg(F.sum(F.size("ids"))).first()[0] or 0
+    seen = each.select(F.inline(F.arrays_zip("t", "df", "total"))).groupBy("t").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     for fewest in (least, 1):
         known = seen.filter((F.col("df") >= fewest) & (F.col("df") <= max(share * n, 1))).orderBy(F.desc("total"), "t").limit(vocabulary).select("t").collect()
         if known:
             break
     terms = sorted(r.t for r in known)
-    ids = docs.sparkSession.createDataFrame(list(enumerate(terms)), "term int, t string")
-    found = each.join(F.broadcast(ids), "t").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("x"))
-    rows = held.select("doc_id").join(found, "doc_id", "left")
-    lists = [F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{k}>")).alias(c) for c, k in (("term", "int"), ("n", "bigint"))]
-    return staged(rows.select("doc_id", *lists), "topic_rows"), terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, words = b.column("ids")[i].values, b.column("t")[i].values
+                size, code, n = (widened(b.column(c)[i].as_py()) for c in ("size", "code", "n"))
+                term = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()[code]
+                owner, ok = np.repeat(np.arange(len(ids)), size), term >= 0
+                owner, term, n = owner[ok], term[ok], n[ok]
+                order = np.argsort(owner * max(len(terms), 1) + term)
+                yield pa.RecordBatch.from_arrays([ids, *_lists(owner, len(ids), pa.array(term[order]), pa.array(n[order]))], ["doc_id", "term", "n"])
+
+    rows = staged(arrow_map(each.select("ids", "size", "code", "n", "t"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term array<int>, n array<bigint>"), "topic_rows")
+    drop()
+    return rows, terms
 
 
 def topic_words(docs: DataFrame, k: int, most: int = 10, seed: int = 0, iterations: int = 20, vocabulary: int = 10_000) -> DataFrame:

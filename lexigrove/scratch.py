@@ -33,12 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written as Parquet in the shared folder and read again, and what deletes it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: drop_path(spark, path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    return kept(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
