@@ -53,3 +53,10 @@ def test_each_row_is_a_text(spark, monkeypatch):
     assert terms == ["cat", "dog", "law"]
     got = sorted(((r.doc_id or 0, list(r.term), list(r.n)) for r in found.collect()))
     assert got == [(0, [0, 2], [1, 1]), (1, [0, 1], [2, 1]), (1, [1, 2], [1, 1]), (2, [], []), (3, [], [])]  # rows of one id were joined before
+
+
+def test_an_iteration_of_topic_words_is_one_job(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} term{i % 5} both{i % 3}") for i in range(60)], "doc_id long, text string")
+    rows, terms = methods.counted(docs)
+    once, more = (jobs(spark, lambda n=n: summed.fit_topics(rows.repartition(6), 2, len(terms), 0, n))[1] for n in (1, 5))
+    assert more - once <= 8  # a job a task and iteration before
